@@ -36,8 +36,8 @@ def ngrams(words: Column, low: int, high: int) -> Column:
     def of_order(bound: Column, n: int) -> Column:
         if n == 1:
             return bound
-        starts = F.sequence(F.lit(1), F.size(bound) - (n - 1))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice(bound, i, F.lit(n)), " "))
+        starts = F.sequence(F.lit(0), F.size(bound) - n)
+        grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(bound, i + j) for j in range(n)]))
         return F.when(F.size(bound) >= n, grams).otherwise(F.array().cast("array<string>"))
 
     return _once(words, lambda w: reduce(F.concat, [of_order(w, n) for n in range(low, high + 1)]))

@@ -19,19 +19,20 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
     table: pa.Table = df.limit(rows + 1).toArrow()
     if table.num_rows > rows or table.nbytes > BROADCAST_BYTES:
         return None
-    local = table.to_pylist()
-    return df.sparkSession.createDataFrame([tuple(r.values()) for r in local], df.schema)
+    return df.sparkSession.createDataFrame(table, df.schema)
 
 
-def lookup(df: DataFrame, dim: DataFrame, on: list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup(
+    df: DataFrame, dim: DataFrame, on: list[str], rows: int = BROADCAST_ROWS, small: bool = False
+) -> DataFrame:
     """Left join to ``dim``, whose key ``on`` is unique; NULL keys find nothing.
 
-    A proven-small ``dim`` is broadcast. Beyond that, keys holding more than one thousandth
+    A proven-small ``dim`` is broadcast (``small``: the caller has proved it). Beyond that, keys holding more than one thousandth
     of the rows (so at most a thousand keys) are joined by broadcast and the rest by shuffle.
     """
-    small = bounded(dim, rows)
-    if small is not None:
-        return df.join(F.broadcast(small), on, "left")
+    local = dim if small else bounded(dim, rows)
+    if local is not None:
+        return df.join(F.broadcast(local), on, "left")
     present = _all_present(on)
     known, missing = df.where(present), df.where(~present)
     hot = hot_keys(known, on)

@@ -56,11 +56,19 @@ def spearman(
     long = df.select(
         F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]
     ).unpivot(["_y"], cols, "feature", "_x")
-    pairs = long.dropna().groupBy("feature", "_x", "_y").agg(F.count("*").alias("_w"))
+    pairs = long.dropna().groupBy("feature", "_x", "_y").agg(F.count("*").alias("_w")).persist()
+    try:
+        rows = _rank_correlation(pairs, len(cols), exact_rows).collect()  # one row per column
+    finally:
+        pairs.unpersist()
+    return df.sparkSession.createDataFrame(rows, f"feature string, {out} double")
+
+
+def _rank_correlation(pairs: DataFrame, features: int, exact_rows: int | None) -> DataFrame:
     x_ranks = average_ranks(pairs, ["feature"], "_x", "_w", "_rx", exact_rows)
     y_ranks = average_ranks(pairs, ["feature"], "_y", "_w", "_ry", exact_rows)
     ranked = lookup(lookup(pairs, x_ranks, ["feature", "_x"]), y_ranks, ["feature", "_y"])
-    sizes = bounded(pairs.groupBy("feature").agg(F.sum("_w").alias("_n")), len(cols))
+    sizes = bounded(pairs.groupBy("feature").agg(F.sum("_w").alias("_n")), features)
     centred = ranked.join(F.broadcast(sizes), "feature").withColumns(
         {
             "_dx": F.col("_rx") - (F.col("_n") + 1) / 2,
@@ -69,4 +77,4 @@ def spearman(
     )
     w, dx, dy = F.col("_w"), F.col("_dx"), F.col("_dy")
     rho = F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)))
-    return centred.groupBy("feature").agg(rho.alias(out))
+    return centred.groupBy("feature").agg(rho.alias("rho"))

@@ -88,9 +88,9 @@ def oof_group_mean(spark, d):
 w AS (SELECT *, coalesce(sum(value) OVER o, 0) AS s, count(value) OVER o AS n FROM e
  WINDOW o AS (PARTITION BY event_type ORDER BY h, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
-    f"SELECT event_id, {r('(s + 10.0::DOUBLE * (SELECT avg(value) FROM events)) / (n + 10.0::DOUBLE)', 9)} AS stat FROM w",
+    f"SELECT event_id, {r('(s + 7.3::DOUBLE * (SELECT avg(value) FROM events)) / (n + 7.3::DOUBLE)', 9)} AS stat FROM w",
 )
 def ordered_target_stat(spark, d):
     events = read_table(spark, d, "events").select("event_id", "event_type", "value")
-    stat = encode.ordered_target_stat(events, "event_type", "value", "event_id", 10.0, "stat")
+    stat = encode.ordered_target_stat(events, "event_type", "value", "event_id", 7.3, "stat")
     return rounded(stat.select("event_id", "stat"), 9)

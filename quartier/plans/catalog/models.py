@@ -1 +1,119 @@
-"""Queries on fitted models: no SQL twin, checked by invariants and by brute force in the tests."""
+"""Queries on fitted models: no SQL twin, checked by invariants and brute force in the tests.
+
+They run over the whole tables; grids, folds and iterations are kept short of the full
+experiments in ``quartier.plans.evaluate``, whose defaults are the complete ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from quartier.functions.exprs import ratio
+from quartier.operators import filters, geo, metrics, models, segment
+from quartier.operators.folds import with_fold
+from quartier.operators.tree import GeoZones
+from quartier.plans import evaluate, segment as segment_plans
+from quartier.plans.catalog.registry import query, rounded, unit_listings
+from quartier.plans.prepare import fit_preparation
+from quartier.session import checkpointed
+from quartier.sources.listings import clean_listings
+from quartier.sources.tables import read_table
+
+
+def modelling_table(spark, d, k: int = 3):
+    """Prepared listings with folds, log price label and log area, materialised once."""
+    df = filters.range_filter(clean_listings(spark, d), "lon", 70, 80)
+    prepared = fit_preparation(df, price="usd_price_syn").transform(df)
+    labelled = prepared.withColumns({"label": F.log1p("usd_price_syn"), "area_log": F.log1p("area_total")})
+    return checkpointed(with_fold(labelled, "listing_id", k))
+
+
+def _place_table(spark, d):
+    df = filters.range_filter(clean_listings(spark, d), "lon", 70, 80)
+    priced = df.withColumn("unit", ratio(F.col("usd_price_syn"), F.col("area_total")))
+    return filters.trim_quantile(priced.select("listing_id", "lat", "lon", "unit", "address", "usd_price_syn"), "unit")
+
+
+@query("geo_tree_zones")
+def geo_tree_zones(spark, d):
+    df = _place_table(spark, d)
+    return GeoZones(x="lat", y="lon", target="unit", max_leaves=10, min_rows=150).fit(df).zones(df)
+
+
+@query("geo_tree_sweep")
+def geo_tree_sweep(spark, d):
+    df = with_fold(_place_table(spark, d), "listing_id", 5)
+    return evaluate.tree_budget_sweep(df, "lat", "lon", "unit")
+
+
+@query("geo_kmeans")
+def geo_kmeans(spark, d):
+    df = _place_table(spark, d)
+    placed = geo.GeoKMeans(cols=["lat", "lon"], k=8, restarts=3).fit(df).transform(df)
+    return placed.groupBy("geo_km_cluster").agg(F.count("*").alias("n"), F.avg("unit").alias("unit_mean"))
+
+
+@query("baseline_ols")
+def baseline_ols(spark, d):
+    cols = ["area_total", "rooms", "build_year", "floor", "total_floors", "lat", "lon"]
+    df = clean_listings(spark, d).withColumn("label", F.log1p("usd_price_syn")).dropna(subset=cols)
+    points = VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+    model = models.ols().fit(points)
+    residuals = metrics.residual_diagnostics(model.transform(points), "label", "prediction")
+    return rounded(residuals.withColumns({"r2": F.lit(model.summary.r2), "r2_adj": F.lit(model.summary.r2adj)}), 4)
+
+
+@query("hash_ridge_sweep")
+def hash_ridge_sweep(spark, d):
+    df = modelling_table(spark, d).withColumn("log_unit", F.log(ratio(F.col("usd_price_syn"), F.col("area_total"))))
+    configs = {"word 1-2": ("word", 1, 2), "char 3-5": ("char_wb", 3, 5)}
+    return evaluate.hash_sweep(df, "log_unit", configs, [64, 1024], k=3)
+
+
+@query("huber_grid")
+def huber_grid(spark, d):
+    table, _ = evaluate.huber_search(modelling_table(spark, d), [1e-5, 1e-3], [0.15], [0.1, 0.5], buckets=64, k=3)
+    return table
+
+
+@query("spatial_variants")
+def spatial_variants(spark, d):
+    names = ["none", "tree_lognum", "kmeans_ohe"]
+    results = evaluate.spatial_variants(modelling_table(spark, d), 64, k=3, names=names)
+    return metrics.variant_delta(results, "variant", "none", metrics.METRICS)
+
+
+@query("boosted_ablation")
+def boosted_ablation(spark, d):
+    configs = {
+        "log_native_text": {"address": "text", "buckets": 32},
+        "usd_native": {"target": "usd", "address": "none"},
+        "log_grouped_logarea": {"cats": "native_grouped", "area": "log", "address": "none"},
+    }
+    return evaluate.boosted_ablation(
+        modelling_table(spark, d), configs, "usd_price_syn", k=3, maxIter=10, maxDepth=5, stepSize=0.3, maxBins=64
+    )
+
+
+@query("boosted_importance")
+def boosted_importance(spark, d):
+    return evaluate.boosted_importance(
+        modelling_table(spark, d), address="none", maxIter=10, maxDepth=5, stepSize=0.3, maxBins=64
+    )
+
+
+@query("ward_place_profile")
+def ward_place_profile(spark, d):
+    labelled = segment_plans.by_place(_place_table(spark, d), micro=200)
+    return segment.cluster_profile(
+        labelled, "place_label", "unit", "usd_price_syn", "lat", "lon", "address", "listing_id"
+    ).drop("sample")
+
+
+@query("segment_agreement")
+def segment_agreement(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    hashed = segment_plans.by_hashed_text(docs, "text", buckets=256, micro=50)
+    both = segment_plans.by_tfidf_text(hashed, "text", max_features=500, micro=50)
+    return segment_plans.agreement(both, ["hash_label", "tfidf_label", "lang"])

@@ -167,10 +167,10 @@ def zscore(spark, d):
 
 @query(
     "unit_price_from_log",
-    f"WITH {LISTINGS} SELECT listing_id, {r('(exp(ln(1 + usd_price)) - 1) / nullif(area_total, 0)')} AS unit FROM l",
+    f"WITH {LISTINGS} SELECT listing_id, {r('(exp(0.9::DOUBLE * ln(1 + usd_price)) - 1) / nullif(area_total, 0)')} AS unit FROM l",
 )
 def unit_price_from_log(spark, d):
-    unit = exprs.unit_price_from_log(F.log1p("usd_price"), F.col("area_total"))
+    unit = exprs.unit_price_from_log(0.9 * F.log1p("usd_price"), F.col("area_total"))
     return rounded(clean_listings(spark, d).select("listing_id", unit.alias("unit")))
 
 

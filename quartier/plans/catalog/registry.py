@@ -19,8 +19,8 @@ LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_KEY_SQL = ", ".join(LINE_KEY)
 
 # WITH-list entries for the SQL twins.
-LISTINGS = f"l AS ({CLEAN_SQL})"
-UNITS = f"l AS (SELECT *, usd_price / nullif(area_total, 0) AS unit FROM ({CLEAN_SQL}) clean)"
+LISTINGS = f"l AS MATERIALIZED ({CLEAN_SQL})"
+UNITS = f"l AS MATERIALIZED (SELECT *, usd_price / nullif(area_total, 0) AS unit FROM ({CLEAN_SQL}) clean)"
 
 
 def query(name: str, sql: str | None = None):
