@@ -11,11 +11,12 @@ BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 1_000
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame | None:
     """``df`` as a local relation if it is proven small, else None.
 
     At most ``rows + 1`` rows reach the driver, whatever the size of ``df``.
     """
+    rows = BROADCAST_ROWS if rows is None else rows
     table: pa.Table = df.limit(rows + 1).toArrow()
     if table.num_rows > rows or table.nbytes > BROADCAST_BYTES:
         return None
@@ -23,7 +24,7 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame | None:
 
 
 def lookup(
-    df: DataFrame, dim: DataFrame, on: list[str], rows: int = BROADCAST_ROWS, small: bool = False
+    df: DataFrame, dim: DataFrame, on: list[str], rows: int | None = None, small: bool = False
 ) -> DataFrame:
     """Left join to ``dim``, whose key ``on`` is unique; NULL keys find nothing.
 
