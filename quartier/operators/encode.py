@@ -63,8 +63,8 @@ def oof_target_mean(df: DataFrame, cat: list[str], y: str, fold: str, out: str)
     """
     sums = df.groupBy(*cat, fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
     local = bounded(sums)
-    small = local is not None
-    sums = local if small else sums
+    size = None if local is None else 0  # a local relation is small already
+    sums = sums if local is None else local
 
     def complement(w):
         return F.try_divide(F.sum("_s").over(w) - F.col("_s"), F.sum("_n").over(w) - F.col("_n"))
@@ -73,8 +73,8 @@ def oof_target_mean(df: DataFrame, cat: list[str], y: str, fold: str, out: str)
     by_cat = sums.dropna(subset=cat).withColumn(out, complement(Window.partitionBy(*cat)))
     folds = sums.groupBy(fold).agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     overall = folds.withColumn("_overall", complement(Window.partitionBy()))
-    found = lookup(df, by_cat.select(*cat, fold, out), [*cat, fold], small=small)
-    found = lookup(found, overall.select(fold, "_overall"), [fold], small=small)
+    found = lookup(df, by_cat.select(*cat, fold, out), [*cat, fold], size=size)
+    found = lookup(found, overall.select(fold, "_overall"), [fold], size=size)
     return found.withColumn(out, F.coalesce(out, "_overall")).select(*df.columns, out)
 
 

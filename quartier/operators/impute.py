@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartier.functions.exprs import flag
-from quartier.operators.quantiles import median, scalar_quantiles
+from quartier.operators.quantiles import median, scalar_quantiles, value_count
 from quartier.operators.state import FitStep, FittedStep, keep_table, kept_table, lookup_kept
 
 
@@ -34,8 +34,9 @@ class GroupMedianImputer(FitStep):
 
     def _fit(self, df: DataFrame) -> GroupMedianImputerModel:
         c = self.conf
-        groups = median(df.dropna(subset=[c["col"]]), c["col"], [c["by"]], "_fill")
-        (overall,) = scalar_quantiles(df, c["col"], [0.5])
+        rows = value_count(df, c["col"])
+        groups = median(df.dropna(subset=[c["col"]]), c["col"], [c["by"]], "_fill", counted=rows)
+        (overall,) = scalar_quantiles(df, c["col"], [0.5], counted=rows)
         modes = mode_smallest(df, c["mode_cols"]).collect() if c["mode_cols"] else []
         state = {
             "groups": keep_table(groups, "group-medians"),

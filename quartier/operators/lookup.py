@@ -24,24 +24,31 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame | None:
 
 
 def lookup(
-    df: DataFrame, dim: DataFrame, on: list[str], rows: int | None = None, small: bool = False
+    df: DataFrame, dim: DataFrame, on: list[str], rows: int | None = None, size: int | None = None
 ) -> DataFrame:
     """Left join to ``dim``, whose key ``on`` is unique; NULL keys find nothing.
 
-    A proven-small ``dim`` is broadcast (``small``: the caller has proved it). Beyond that, keys holding more than one thousandth
+    A proven-small ``dim`` is broadcast. The proof is to collect it up to the limit, or ``size``:
+    the row count of a ``dim`` of numbers or bounded text that the caller has counted. Beyond that, keys holding more than one thousandth
     of the rows (so at most a thousand keys) are joined by broadcast and the rest by shuffle.
     """
-    local = dim if small else bounded(dim, rows)
+    limit = BROADCAST_ROWS if rows is None else rows
+    if size is None:
+        local = bounded(dim, limit)
+    else:
+        local = dim if size <= limit else None
     if local is not None:
         return df.join(F.broadcast(local), on, "left")
     present = _all_present(on)
     known, missing = df.where(present), df.where(~present)
+    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema if f.name not in on]
+    unmatched = missing.select(*on, *[c for c in df.columns if c not in on], *extra)
     hot = hot_keys(known, on)
+    if hot.isEmpty():  # a local relation
+        return known.join(dim, on, "left").unionByName(unmatched)
     hot_dim = dim.join(F.broadcast(hot), on, "left_semi")
     hot_rows = known.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_dim), on, "left")
     cold_rows = known.join(F.broadcast(hot), on, "left_anti").join(dim, on, "left")
-    extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema if f.name not in on]
-    unmatched = missing.select(*on, *[c for c in df.columns if c not in on], *extra)
     return hot_rows.unionByName(cold_rows).unionByName(unmatched)
 
 

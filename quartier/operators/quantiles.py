@@ -21,7 +21,7 @@ from quartier.operators.lookup import bounded
 from quartier.session import checkpointed
 
 EXACT_ROWS = 1_000_000
-MIN_BUCKETS, MAX_BUCKETS = 256, 65_536
+MIN_BUCKETS, MAX_BUCKETS = 256, 16_384
 
 
 def _value(value: str | Column) -> Column:
@@ -30,6 +30,10 @@ def _value(value: str | Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def value_count(df: DataFrame, value: str | Column) -> int:
+    return df.select(F.count(_value(value))).first()[0]
+
+
 def quantiles(
     df: DataFrame,
     value: str | Column,
@@ -39,11 +43,13 @@ def quantiles(
     aggs: list[Column] = (),
     exact_rows: int | None = None,
     accuracy: int | None = None,
+    counted: int | None = None,
 ) -> DataFrame:
     """One row per group: the group, ``aggs`` and ``out`` (array of quantiles, NULL if no value).
 
     Rows with a missing group key are dropped, missing values are skipped. With ``accuracy``
-    the answer is the approximate ``percentile_approx`` in a single pass.
+    the answer is the approximate ``percentile_approx`` in a single pass. ``counted``, a known
+    upper bound of the value count, saves counting.
     """
     by = list(by)
     df = df.dropna(subset=by) if by else df
@@ -52,7 +58,7 @@ def quantiles(
     if accuracy is not None:
         q = F.percentile_approx(_value(value), levels, accuracy)
         return df.groupBy(*by).agg(q.alias(out), *aggs)
-    counted = df.select(F.count(_value(value))).first()[0]
+    counted = value_count(df, value) if counted is None else counted
     if counted <= limit:
         return df.groupBy(*by).agg(F.percentile(_value(value), levels).alias(out), *aggs)
     found = _by_rank(df.select(*by, _value(value).alias("_v")), probs, by, out, counted, limit)
@@ -78,10 +84,8 @@ def scalar_quantiles(df: DataFrame, value: str | Column, probs: list[float], **k
 
 def cut_points(df: DataFrame, value: str, buckets: int) -> DataFrame:
     """One row: sketch-based cut points splitting ``value`` into about ``buckets`` parts."""
-    levels = F.transform(
-        F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i.cast("double") / float(buckets)
-    )
-    return df.agg(F.percentile_approx(value, levels, 4 * buckets).alias("_cuts"))
+    levels = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    return df.agg(F.expr(f"percentile_approx(`{value}`, array({levels}), {4 * buckets})").alias("_cuts"))
 
 
 def bucket_of(value: Column, cuts: Column, buckets: int) -> Column:

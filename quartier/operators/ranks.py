@@ -10,7 +10,8 @@ from quartier.operators.quantiles import EXACT_ROWS, bucket_count, bucket_of, cu
 
 
 def values_below(
-    counts: DataFrame, by: list[str], value: str, weight: str, out: str, exact_rows: int | None = None
+    counts: DataFrame, by: list[str], value: str, weight: str, out: str, exact_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the total ``weight`` of smaller values in the group.
 
@@ -18,7 +19,7 @@ def values_below(
     balanced buckets, bucket totals are summed up (few rows) and each bucket is ranked by itself.
     """
     limit = EXACT_ROWS if exact_rows is None else exact_rows
-    rows = counts.count()
+    rows = counts.count() if rows is None else rows
     if rows <= limit:
         w = Window.partitionBy(*by).orderBy(value)
         return counts.withColumn(out, F.sum(weight).over(w) - F.col(weight))
@@ -42,11 +43,12 @@ def values_below(
 
 def average_ranks(
     pairs: DataFrame, by: list[str], value: str, weight: str, out: str, exact_rows: int | None = None
-) -> DataFrame:
-    """(by..., value, out) with 1-based average ranks, from weighted (counted) rows."""
+) -> tuple[DataFrame, int]:
+    """(by..., value, out) with 1-based average ranks from weighted (counted) rows, and its row count."""
     counts = pairs.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    ranked = values_below(counts, by, value, "_w", "_below", exact_rows)
-    return ranked.select(*by, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out))
+    rows = counts.count()
+    ranked = values_below(counts, by, value, "_w", "_below", exact_rows, rows)
+    return ranked.select(*by, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out)), rows
 
 
 def spearman(
@@ -65,9 +67,10 @@ def spearman(
 
 
 def _rank_correlation(pairs: DataFrame, features: int, exact_rows: int | None) -> DataFrame:
-    x_ranks = average_ranks(pairs, ["feature"], "_x", "_w", "_rx", exact_rows)
-    y_ranks = average_ranks(pairs, ["feature"], "_y", "_w", "_ry", exact_rows)
-    ranked = lookup(lookup(pairs, x_ranks, ["feature", "_x"]), y_ranks, ["feature", "_y"])
+    x_ranks, x_rows = average_ranks(pairs, ["feature"], "_x", "_w", "_rx", exact_rows)
+    y_ranks, y_rows = average_ranks(pairs, ["feature"], "_y", "_w", "_ry", exact_rows)
+    ranked = lookup(pairs, x_ranks, ["feature", "_x"], size=x_rows)
+    ranked = lookup(ranked, y_ranks, ["feature", "_y"], size=y_rows)
     sizes = bounded(pairs.groupBy("feature").agg(F.sum("_w").alias("_n")), features)
     centred = ranked.join(F.broadcast(sizes), "feature").withColumns(
         {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quartier.functions.text import char_wb, ngrams, tokens
 from quartier.operators import segment, textfeatures
 from quartier.plans.catalog.registry import LISTINGS, query, r, rounded
+from quartier.session import spread
 from quartier.sources.listings import clean_listings
 from quartier.sources.tables import read_table
 
@@ -23,7 +24,7 @@ GRAMS = (
     f"WITH {TOKENS} SELECT doc_id, (generate_subscripts(w, 1) - 1)::INTEGER AS pos, unnest(w) AS token FROM t",
 )
 def tokenize_words(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
 
 
@@ -60,7 +61,7 @@ BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+"
     " SELECT gram, count(*) AS tf FROM g GROUP BY 1",
 )
 def char_wb_ngrams(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = spread(read_table(spark, d, "documents").select("text"))
     return docs.select(F.explode(char_wb(F.col("text"), 3, 5)).alias("gram")).groupBy("gram").agg(
         F.count("*").alias("tf")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartier.functions.parse import parse_listing
+from quartier.session import spread
 from quartier.sources.tables import read_table
 
 _COLUMNS = {
@@ -89,9 +90,9 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed listing strings, one row per order."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     part_rows = read_table(spark, sf_dir, "part").agg(F.count("*").alias("part_rows"))
+    # Parsing costs far more than reading, so a small file must not hold it to one task.
     orders = (
-        read_table(spark, sf_dir, "orders")
-        .select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+        spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice"))
         .crossJoin(F.broadcast(part_rows))  # one row
     )
     joined = orders.join(part, F.expr("p_partkey = o_orderkey % part_rows"))
