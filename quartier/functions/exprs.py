@@ -57,6 +57,12 @@ def absolute_pct_error(actual: Column, predicted: Column) -> Column:
     return F.abs(F.try_divide(actual - predicted, actual)) * 100
 
 
+def shortened(text: Column, length: int = 46) -> Column:
+    """At most ``length`` characters, an ellipsis marking what was cut."""
+    cut = F.concat(F.substring(text, 1, length), F.lit("…"))
+    return F.when(F.length(text) > length, cut).otherwise(text)
+
+
 def round_half_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
 

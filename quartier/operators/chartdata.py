@@ -104,6 +104,12 @@ def density_by_group(df: DataFrame, col: str, by: str, bins: int) -> DataFrame:
     return counts.select(by, "bin", "count", density.alias("density"))
 
 
+def colour_limits(df: DataFrame, value: str, cap: float, **kw) -> DataFrame:
+    """One shared colour scale for several maps: the 5 % quantile, at most ``cap``, to the 95 % quantile."""
+    q = quantiles(df, value, [0.05, 0.95], **kw)
+    return q.select(F.least(F.get("q", F.lit(0)), F.lit(float(cap))).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
 def scatter_bins(df: DataFrame, x: str, y: str, nx: int, ny: int, by: list[str] = ()) -> DataFrame:
     """(by..., bin_x, bin_y, count): a scatter plot as occupied 2-D cells over the common range."""
     df = df.select(*by, x, y).dropna(subset=[x, y])

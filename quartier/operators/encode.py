@@ -80,7 +80,7 @@ def oof_target_mean(df: DataFrame, cat: list[str], y: str, fold: str, out: str)
 
 def ordered_target_stat(
     df: DataFrame, cat: str, y: str, key: str, prior_weight: float, out: str,
-    seed: int = 0, buckets: int = 256, label: str = "MISSING",
+    seed: int = 0, buckets: int = 4096, label: str = "MISSING",
 ) -> DataFrame:
     """Smoothed mean of ``y`` over the rows of the same category that precede in a hashed order.
 

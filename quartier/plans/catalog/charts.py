@@ -77,6 +77,15 @@ def density_by_group(spark, d):
     return rounded(chartdata.density_by_group(unit_listings(spark, d), "unit", "series", 20), 9)
 
 
+@query(
+    "colour_limits",
+    f"WITH {UNITS} SELECT {r('least(quantile_cont(unit, 0.05), 1000.0::DOUBLE)')} AS low,"
+    f" {r('quantile_cont(unit, 0.95)')} AS high FROM l",
+)
+def colour_limits(spark, d):
+    return rounded(chartdata.colour_limits(unit_listings(spark, d), "unit", 1000))
+
+
 @query(
     "scatter_bins_2d",
     """WITH b AS (SELECT min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0,

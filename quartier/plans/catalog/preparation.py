@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quartier.functions import exprs, parse
 from quartier.operators import filters, groupings
 from quartier.operators.folds import with_fold
-from quartier.operators.impute import GroupMedianImputer, GroupMedianImputerModel, fill_label, mode_smallest
+from quartier.operators.impute import GroupMedianImputer, GroupMedianImputerModel, fill_label, mode_smallest, shape
 from quartier.operators.impute import missing_report as missing_table
 from quartier.plans.catalog.registry import (
     LINE_KEY, LINE_KEY_SQL, LISTINGS, UNITS, fold_sql, query, r, rounded, unit_lines, unit_listings,
@@ -31,6 +31,20 @@ def clean(spark, d):
     return clean_listings(spark, d)
 
 
+@query("table_shape", f"SELECT count(*) AS rows, 16 AS columns FROM ({CLEAN_SQL}) c")
+def table_shape(spark, d):
+    return shape(clean_listings(spark, d)).drop("types")
+
+
+@query(
+    "short_addresses",
+    f"WITH {LISTINGS} SELECT listing_id, CASE WHEN len(address) > 30 THEN substr(address, 1, 30) || '…'"
+    " ELSE address END AS address FROM l",
+)
+def short_addresses(spark, d):
+    return clean_listings(spark, d).select("listing_id", exprs.shortened(F.col("address"), 30).alias("address"))
+
+
 @query("parse_rooms", f"SELECT listing_id, rooms FROM ({CLEAN_SQL}) c")
 def parse_rooms(spark, d):
     return raw_listings(spark, d).select("listing_id", parse.rooms(F.col("main")).alias("rooms"))
