@@ -14,7 +14,7 @@ from quartier.operators import filters, geo, metrics, models, segment
 from quartier.operators.folds import with_fold
 from quartier.operators.tree import GeoZones
 from quartier.plans import evaluate, segment as segment_plans
-from quartier.plans.catalog.registry import query, rounded, unit_listings
+from quartier.plans.catalog.registry import query, rounded
 from quartier.plans.prepare import fit_preparation
 from quartier.session import checkpointed
 from quartier.sources.listings import clean_listings

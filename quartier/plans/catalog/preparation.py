@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quartier.functions import exprs, parse
 from quartier.operators import filters, groupings
 from quartier.operators.folds import with_fold
-from quartier.operators.impute import GroupMedianImputer, GroupMedianImputerModel, fill_label, mode_smallest, shape
+from quartier.operators.impute import GroupMedianImputerModel, fill_label, mode_smallest, shape
 from quartier.operators.impute import missing_report as missing_table
 from quartier.plans.catalog.registry import (
     LINE_KEY, LINE_KEY_SQL, LISTINGS, UNITS, fold_sql, query, r, rounded, unit_lines, unit_listings,
@@ -15,7 +15,7 @@ from quartier.plans.catalog.registry import (
 from quartier.plans.prepare import UNFINISHED, listing_imputer
 from quartier.session import scratch_path
 from quartier.sources import tables
-from quartier.sources.listings import CLEAN_SQL, RAW_SQL, SP, clean_listings, raw_listings
+from quartier.sources.listings import CLEAN_SQL, clean_listings, raw_listings
 
 
 @query("scan_csv_roundtrip", CLEAN_SQL)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quartier.functions.text import char_wb, ngrams, tokens
+from quartier.functions.text import char_wb, tokens
 from quartier.operators import segment, textfeatures
 from quartier.plans.catalog.registry import LISTINGS, query, r, rounded
 from quartier.session import spread
