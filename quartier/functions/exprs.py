@@ -53,6 +53,15 @@ def zscore(c: Column, mean: Column, std: Column) -> Column:
     return (c - mean) / F.when(std == 0, F.lit(1.0)).otherwise(std)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Aggregate: Pearson correlation over complete pairs, NULL if a side is constant.
+
+    Spark's own ``corr`` divides by zero there, which is an error in ANSI mode.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def absolute_pct_error(actual: Column, predicted: Column) -> Column:
     return F.abs(F.try_divide(actual - predicted, actual)) * 100
 

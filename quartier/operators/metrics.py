@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quartier.functions.exprs import absolute_pct_error
+from quartier.functions.exprs import absolute_pct_error, nan_to_null
 from quartier.operators.lookup import bounded
 from quartier.operators.quantiles import quantiles
 
@@ -59,8 +59,8 @@ def residual_diagnostics(df: DataFrame, actual: str, predicted: str) -> DataFram
     """Skewness, population std and excess kurtosis of the residuals."""
     r = F.col(actual) - F.col(predicted)
     return df.agg(
-        F.count(r).alias("n"), F.skewness(r).alias("skew"),
-        F.stddev_pop(r).alias("std"), F.kurtosis(r).alias("kurt"),
+        F.count(r).alias("n"), nan_to_null(F.skewness(r)).alias("skew"),
+        F.stddev_pop(r).alias("std"), nan_to_null(F.kurtosis(r)).alias("kurt"),
     )
 
 

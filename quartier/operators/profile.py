@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartier.functions.exprs import round_half_even
+from quartier.functions.exprs import correlation, nan_to_null, round_half_even
 from quartier.operators.groupings import unpivot_levels
 from quartier.operators.lookup import bounded
 from quartier.operators.quantiles import quantiles
@@ -66,14 +66,11 @@ def grouped_summary(
 
 def moments(df: DataFrame, cols: list[str]) -> DataFrame:
     """(feature, skew, kurt, n_missing): population skewness and excess kurtosis, one pass."""
-    def defined(c):
-        return F.when(~F.isnan(c), c)
-
     aggs = [
         F.struct(
             F.lit(c).alias("feature"),
-            defined(F.skewness(c)).alias("skew"),
-            defined(F.kurtosis(c)).alias("kurt"),
+            nan_to_null(F.skewness(c)).alias("skew"),
+            nan_to_null(F.kurtosis(c)).alias("kurt"),
             F.count_if(F.col(c).isNull()).alias("n_missing"),
         )
         for c in cols
@@ -86,7 +83,7 @@ def pearson(df: DataFrame, cols: list[str], target: str, out: str = "pearson") -
     aggs = [
         F.struct(
             F.lit(c).alias("feature"),
-            F.corr(F.when(F.col(target).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(target))).alias(out),
+            correlation(F.col(c), F.col(target)).alias(out),
         )
         for c in cols
     ]
@@ -102,7 +99,7 @@ def linearity(df: DataFrame, cols: list[str], target: str, **kw) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """Long (a, b, corr) upper triangle over rows complete in all ``cols``, one pass."""
     aggs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr"))
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(F.col(a), F.col(b)).alias("corr"))
         for a, b in combinations_with_replacement(cols, 2)
     ]
     return df.dropna(subset=cols).agg(F.array(*aggs).alias("_all")).select(F.inline("_all"))

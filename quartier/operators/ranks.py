@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quartier.functions.exprs import correlation
 from quartier.operators.lookup import bounded, lookup
 from quartier.operators.quantiles import EXACT_ROWS, bucket_count, bucket_of, cut_points
 
@@ -54,10 +55,18 @@ def average_ranks(
 def spearman(
     df: DataFrame, cols: list[str], target: str, out: str = "spearman", exact_rows: int | None = None
 ) -> DataFrame:
-    """(feature, out): rank correlation with ``target`` on pairwise complete rows, average ranks."""
+    """(feature, out): rank correlation with ``target`` on pairwise complete rows, average ranks.
+
+    Up to ``exact_rows`` counted rows each column is ranked by a window over that many rows at
+    most; beyond, by prefix sums over counted pairs.
+    """
+    limit = EXACT_ROWS if exact_rows is None else exact_rows
     long = df.select(
         F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in cols]
     ).unpivot(["_y"], cols, "feature", "_x")
+    if df.count() <= limit:
+        ranked = long.dropna().select("feature", _window_rank("_x").alias("_rx"), _window_rank("_y").alias("_ry"))
+        return ranked.groupBy("feature").agg(correlation(F.col("_rx"), F.col("_ry")).alias(out))
     pairs = long.dropna().groupBy("feature", "_x", "_y").agg(F.count("*").alias("_w")).persist()
     try:
         rows = _rank_correlation(pairs, len(cols), exact_rows).collect()  # one row per column
@@ -66,6 +75,12 @@ def spearman(
     return df.sparkSession.createDataFrame(rows, f"feature string, {out} double")
 
 
+def _window_rank(value: str) -> Column:
+    below = F.rank().over(Window.partitionBy("feature").orderBy(value))
+    ties = F.count("*").over(Window.partitionBy("feature", value))
+    return below + (ties - 1) / 2
+
+
 def _rank_correlation(pairs: DataFrame, features: int, exact_rows: int | None) -> DataFrame:
     x_ranks, x_rows = average_ranks(pairs, ["feature"], "_x", "_w", "_rx", exact_rows)
     y_ranks, y_rows = average_ranks(pairs, ["feature"], "_y", "_w", "_ry", exact_rows)

@@ -115,6 +115,10 @@ def test_constant_single_and_empty_inputs(spark):
     assert summary["b"]["std"] is None and summary["a"]["std"] == 0
     moments = profile.moments(df, ["v"]).first()
     assert moments["skew"] is None and moments["kurt"] is None
+    flat = df.withColumn("w", F.monotonically_increasing_id().cast("double"))
+    lines = profile.linearity(flat, ["v"], "w").first()
+    assert lines["pearson"] is None and lines["spearman"] is None
+    assert profile.vif(flat, ["v", "w"]).where("vif is not null").count() == 0
     assert filters.ZScore(cols=["v"]).fit(df).transform(df).agg(F.max(F.abs("v_z"))).first()[0] == 0
     assert filters.trim_quantile(df.limit(0), "v").count() == 0
 
