@@ -26,3 +26,40 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quartier.llm.bpe import digests
 
     return digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of the documents: counts and digest of the base kinds, and all spans."""
+    from quartier.llm.secret_scan import joined, scan
+
+    found = scan(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", joined(found.spans))
+
+
+ORACLE["op8_substring_dedup"] = r"""
+WITH words AS MATERIALIZED (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS MATERIALIZED (
+    SELECT doc_id, s, md5(array_to_string(w[s : s + 49], ' ')) AS h
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM words WHERE len(w) >= 50)
+), firsts AS MATERIALIZED (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS MATERIALIZED (
+    SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM windows JOIN firsts USING (h) WHERE doc_id > first
+), flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
+    FROM flat ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words that also start in an earlier one."""
+    from quartier.llm.substring_dedup import dedup
+
+    return dedup(read_table(spark, sf_dir, "documents"), texts=False)
