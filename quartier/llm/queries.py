@@ -63,3 +63,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quartier.llm.substring_dedup import dedup
 
     return dedup(read_table(spark, sf_dir, "documents"), texts=False)
+
+
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of the documents."""
+    from quartier.llm.simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
