@@ -71,3 +71,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quartier.llm.simhash import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that cover a benchmark item, with the tiles."""
+    from quartier.llm.decontaminate import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
