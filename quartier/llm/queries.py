@@ -79,3 +79,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quartier.llm.decontaminate import contaminated
 
     return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of the documents, learned from two thirds of them."""
+    from quartier.llm.folds import held_out
+    from quartier.llm.language import fit, predict
+
+    docs = read_table(spark, sf_dir, "documents")
+    return predict(docs, fit(docs, ~held_out(3, 1)), {"held_out": held_out(3, 1)})
