@@ -89,3 +89,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return predict(docs, fit(docs, ~held_out(3, 1)), {"held_out": held_out(3, 1)})
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of the documents, learned from labels of three quarters of them."""
+    from quartier.llm.folds import held_out
+    from quartier.llm.quality import fit, score
+
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return score(docs, fit(docs, labels, ~held_out(4, 2)), {"held_out": held_out(4, 2)})
