@@ -99,3 +99,33 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return score(docs, fit(docs, labels, ~held_out(4, 2)), {"held_out": held_out(4, 2)})
+
+
+# Host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+ORACLE["op3_url_filter"] = r"""
+WITH rules(rhost, rpath, verdict) AS (
+    VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), cut AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+urls AS (
+    SELECT page_id, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path,
+           translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+    FROM hosts
+)
+SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+       coalesce(arg_max(verdict, length(rhost || rpath)), 'allow') AS verdict
+FROM urls LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+GROUP BY page_id, host, path
+"""
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the longest rule that fits each page's url."""
+    from quartier.llm.url_filter import judge
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(read_table(spark, sf_dir, "pages"), rules)
