@@ -129,3 +129,13 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge(read_table(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log probability of the documents, learned from six sevenths of them."""
+    from quartier.llm.folds import held_out
+    from quartier.llm.language_model import score
+
+    docs = read_table(spark, sf_dir, "documents")
+    return score(docs, ~held_out(7, 2), {"held_out": held_out(7, 2)})
