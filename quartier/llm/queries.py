@@ -139,3 +139,13 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return score(docs, ~held_out(7, 2), {"held_out": held_out(7, 2)})
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    from pyspark.sql import functions as F
+
+    from quartier.llm.neighbours import search
+
+    return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
