@@ -7,8 +7,9 @@ are merged cell by cell; what is left of the merged sketch are bits "seen twice
 are sent to all tasks. A second pass emits only windows whose anchor the sketch calls repeated, and groups those
 exactly by 96 hash bits. The sketch errs only by letting single windows through: none that repeats is lost.
 
-Hot windows: the smallest document of each window is found by an aggregation that combines in the map tasks; the
-answer is joined back by a sort-merge join whose both sides are plain exchanges, which adaptive execution splits.
+Hot windows: an occurrence whose task has seen the same window in a smaller document is settled there and then. Only
+the occurrences in the smallest document of each task are grouped over all tasks, so a group has no more rows than
+there are tasks, however common its window is.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartier.llm.text import Block, blocks, gram_hashes, id_text, mix, utf8
-from quartier.session import checkpointed
 
 WINDOW = 50
 ROWS = 3  # hash rows of the sketch
@@ -30,6 +30,7 @@ CELLS_PER_ANCHOR = 1.5
 CHARS_PER_ANCHOR = 75
 MAX_CELLS = 48 << 20  # per row; beyond it the sketch only lets more single windows through
 CHUNK = 1 << 16
+HELD = 1 << 21  # occurrences that a task holds to settle them against each other
 _SALTS = [0x1F0A, 0x2B71, 0x3C95]
 
 
@@ -122,12 +123,50 @@ def repeated_bits(docs: DataFrame, window: int, width: int) -> list[np.ndarray]:
     return bits
 
 
+def _runs(same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First positions and lengths of runs; ``same`` says whether a position goes on with the run before it."""
+    first = np.flatnonzero(~same)
+    return first, np.diff(np.append(first, len(same)))
+
+
+def settle(h1, h2, doc, tag, start) -> pa.RecordBatch:
+    """Of one task's occurrences, in order of text: those that are settled, as runs, and those to be judged."""
+    order = np.argsort(h1, kind="stable")
+    g1, g2, d = h1[order], h2[order], doc[order]
+    group = np.append(True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1]))
+    least = np.minimum.reduceat(d, np.flatnonzero(group))
+    later = d > least[np.cumsum(group) - 1]
+    gone = np.zeros(len(order), bool)
+    gone[order[later]] = True
+    at = np.flatnonzero(gone)
+    goes_on = (doc[at][1:] == doc[at][:-1]) & (tag[at][1:] == tag[at][:-1]) & (start[at][1:] == start[at][:-1] + 1)
+    first, size = _runs(np.append(False, goes_on)) if len(at) else (at, at)
+    settled = at[first]
+    open_ = order[~later]
+    goes_on = (h1[open_][1:] == h1[open_][:-1]) & (doc[open_][1:] == doc[open_][:-1]) & (tag[open_][1:] == tag[open_][:-1])
+    goes_on &= (h2[open_][1:] == h2[open_][:-1]) & (start[open_][1:] == start[open_][:-1] + 1)  # one word again and again
+    first, more = _runs(np.append(False, goes_on)) if len(open_) else (open_, open_)
+    rows = np.concatenate((settled, open_[first]))
+    sure = np.arange(len(rows)) < len(settled)
+    spread = mix(doc[settled].view(np.uint64) ^ start[settled].astype(np.uint64) << np.uint64(40)).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(sure), pa.array(np.concatenate((spread, h1[rows[len(settled) :]]))), pa.array(h2[rows]),
+            pa.array(doc[rows]), pa.array(tag[rows]), pa.array(start[rows]), pa.array(np.concatenate((size, more)).astype(np.int32)),
+        ],
+        names=["sure", "h1", "h2", "doc_id", "tag", "start", "n"],
+    )
+
+
 def candidate_windows(docs: DataFrame, window: int, width: int, bits: list[np.ndarray]) -> DataFrame:
-    """(h1, h2, doc_id, tag, start) of each window whose anchor may be repeated."""
+    """Windows whose anchor may be repeated: (sure, h1, h2, doc_id, tag, start, n), ``n`` starts from ``start`` on.
+
+    ``sure`` rows are known to repeat an earlier document; the key of such a row only spreads it.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(bits)  # ROWS * MAX_CELLS / 8 bytes at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shipped.value
+        seen, held, size = shipped.value, [], 0
         for batch in batches:
             ids = np.array(batch.column("doc_id").fill_null(0))
             known = np.array(batch.column("doc_id").is_valid())
@@ -145,17 +184,18 @@ def candidate_windows(docs: DataFrame, window: int, width: int, bits: list[np.nd
                     often &= (seen[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
                 at = at[often[back]]
                 if len(at):
-                    h1, h2 = gram_hashes(words, window, 1)[at], gram_hashes(words, window, 2)[at]
+                    h1 = gram_hashes(words, window, 1)[at].view(np.int64)
+                    h2 = (gram_hashes(words, window, 2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                     doc = block.doc[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                            pa.array(ids[a:b][doc]), pa.array(tags[a:b][doc]), pa.array((at - block.first[doc]).astype(np.int32)),
-                        ],
-                        names=["h1", "h2", "doc_id", "tag", "start"],
-                    )
+                    held.append((h1, h2, ids[a:b][doc], tags[a:b][doc], (at - block.first[doc]).astype(np.int32)))
+                    size += len(at)
+                if size >= HELD:
+                    yield settle(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield settle(*map(np.concatenate, zip(*held)))
 
-    return docs.mapInArrow(run, "h1 long, h2 int, doc_id long, tag int, start int")
+    return docs.mapInArrow(run, "sure boolean, h1 long, h2 int, doc_id long, tag int, start int, n int")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -169,10 +209,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, max_cells:
     base = id_text(docs, F.hash("text").alias("tag"))
     width = sketch_width(base, max_cells)
     found = candidate_windows(base, window, width, repeated_bits(base, window, width))
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = checkpointed(first.where("first < last").select("h1", "h2", "first"))
-    hits = found.join(first, ["h1", "h2"]).where("doc_id > first")
-    hits = hits.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("starts"))  # no more than its words
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2", "sure"))
+    hits = found.withColumn("first", least).where("sure OR doc_id > first")
+    hits = hits.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("starts"))  # at most its words
     joined = base.join(hits, ["doc_id", "tag"], "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +221,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts: bool = True, max_cells:
                 words = text.encode().split() if text else []
                 gone = 0
                 if starts.is_valid:
-                    at = np.unique(np.asarray(starts.values))
+                    at, n = (np.asarray(starts.values.field(k)) for k in (0, 1))
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
+                    np.add.at(edge, at + n - 1 + window, -1)
                     keep = np.cumsum(edge[:-1]) == 0
                     gone = len(words) - int(keep.sum())
                     words = [w for w, k in zip(words, keep.tolist()) if k]
