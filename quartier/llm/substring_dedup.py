@@ -30,7 +30,7 @@ CELLS_PER_ANCHOR = 1.5
 CHARS_PER_ANCHOR = 75
 MAX_CELLS = 48 << 20  # per row; beyond it the sketch only lets more single windows through
 CHUNK = 1 << 16
-HELD = 1 << 21  # occurrences that a task holds to settle them against each other
+HELD = 1 << 19  # occurrences that a task holds to settle them against each other
 _SALTS = [0x1F0A, 0x2B71, 0x3C95]
 
 

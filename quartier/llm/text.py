@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = bytes(range(256)).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
@@ -95,17 +96,17 @@ def utf8(texts: list) -> list[bytes]:
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list]]:
-    """Row ranges whose texts hold about ``limit`` characters; a longer text has a range of its own."""
-    texts = batch.column(column).to_pylist()
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > limit:
-            yield start, i, texts[start:i]
-            start, size = i, 0
-        size += n + 1
+    """Row ranges whose texts hold about ``limit`` bytes, with the texts; a longer text has a range of its own."""
+    texts = batch.column(column)
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64) + 1
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
+            yield start, i, texts.slice(start, i - start).to_pylist()
+            start, held = i, 0
+        held += n
     if start < len(texts):
-        yield start, len(texts), texts[start:]
+        yield start, len(texts), texts.slice(start).to_pylist()
 
 
 def id_text(docs, *more):
