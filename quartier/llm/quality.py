@@ -57,8 +57,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
                     near = np.flatnonzero(block.doc[step:] == block.doc[:-step])
                     left, right = bucket[near], bucket[near + step]
                     for a, b in ((left, right), (right, left)):
-                        for k in range(SPARSE):
-                            sums += np.bincount(a * SIZE + at[b, k], weights=sign[b, k], minlength=n * SIZE)
+                        np.add.at(sums, (a[:, None] * SIZE + at[b]).ravel(), sign[b].ravel())
 
     return summed(docs.select(F.col("text").cast("string").alias("text")), add, n * (SIZE + 1))
 
