@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartier.functions.exprs import clip, zscore
 from quartier.operators.lookup import lookup
 from quartier.operators.quantiles import scalar_quantiles
 from quartier.operators.state import FitStep, FittedStep
+from quartier.session import checkpointed
 
 
 def range_filter(df: DataFrame, col: str, low: float, high: float) -> DataFrame:
@@ -101,11 +102,18 @@ def merge_rare_levels(df: DataFrame, col: str, min_count: int, other: str, out:
 
 
 def aligned_merge(left: DataFrame, right: DataFrame, key: str, check: str, take: list[str]) -> DataFrame:
-    """One-to-one merge on a row key, refused unless both sides agree in rows and in ``check``."""
+    """One-to-one merge on a row key, refused unless both sides agree in rows and in ``check``.
+
+    A key that is NULL or repeated on either side is refused too. One join: its stored result is checked and returned.
+    """
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn(name, F.count("*").over(Window.partitionBy(key)))
+
     r = right.select(key, F.col(check).alias("_check"), *take)
-    both = left.join(r, key, "full_outer")
-    good = F.col(check).isNotNull() & F.col("_check").isNotNull() & (F.col(check) == F.col("_check"))
-    wrong = both.agg(F.count_if(~good).alias("bad")).first()["bad"]
+    both = checkpointed(counted(left, "_n").join(counted(r, "_m"), key, "full_outer"))
+    good = (F.col("_n") == 1) & (F.col("_m") == 1) & F.col(key).isNotNull() & (F.col(check) == F.col("_check"))
+    wrong = both.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("bad")).first()["bad"]
     if wrong:
-        raise ValueError(f"{wrong} rows of the two tables do not match on {key} and {check}")
-    return left.join(r, key).drop("_check")
+        raise ValueError(f"{wrong} rows of the two tables do not match one to one on {key} and {check}")
+    return both.drop("_check", "_n", "_m")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartier.functions.exprs import flag
+from quartier.operators.filters import trim_upper
 from quartier.operators.lookup import lookup
 from quartier.operators.quantiles import median, scalar_quantiles
 from quartier.operators.ranks import values_below
@@ -92,28 +93,40 @@ def add_membership_flag(df: DataFrame, col: str, values: list[str], out: str) ->
     return df.withColumn(out, flag(F.col(col).isin(values)))
 
 
-def level_medians(df: DataFrame, cols: list[str], value: str) -> DataFrame:
-    """(feature, level, median) for every level of every named column; missing levels dropped."""
-    return median(unpivot_levels(df, cols, [value]), value, ["feature", "level"], "median")
+def level_medians(df: DataFrame, cols: list[str], value: str, label: str | None = None) -> DataFrame:
+    """(feature, level, median) for every level of every named column; missing levels become ``label`` or are dropped."""
+    return median(unpivot_levels(df, cols, [value], label), value, ["feature", "level"], "median")
 
 
 def weak_features(df: DataFrame, candidates: list[str], value: str, threshold: float) -> DataFrame:
-    """(feature, spread, weak): spread of level medians; columns the table lacks are skipped."""
+    """(feature, spread, weak, medians): spread of level medians, and the medians by level.
+
+    Columns the table lacks are skipped.
+    """
     present = [c for c in candidates if c in df.columns]
     spread = F.max("median") - F.min("median")
+    levels = F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "median"))))  # as many as the column has levels
     return (
         level_medians(df, present, value)
         .groupBy("feature")
-        .agg(spread.alias("spread"))
+        .agg(spread.alias("spread"), levels.alias("medians"))
         .withColumn("weak", flag(F.col("spread") < threshold))
+        .select("feature", "spread", "weak", "medians")
     )
 
 
-def median_spread(df: DataFrame, cols: list[str], value: str) -> DataFrame:
-    """Lowest and highest level median per column and the level reaching it (ties: smallest level)."""
+def median_spread(
+    df: DataFrame, cols: list[str], value: str, label: str | None = None, trim: float | None = None
+) -> DataFrame:
+    """Lowest and highest level median per column and the level reaching it (ties: smallest level).
+
+    Missing values are a level of their own named ``label``, or left out; with ``trim`` only rows whose value lies
+    strictly below that quantile count.
+    """
     m = F.col("median")
+    df = trim_upper(df, value, trim) if trim is not None else df
     return (
-        level_medians(df, cols, value)
+        level_medians(df, cols, value, label)
         .where(m.isNotNull())
         .groupBy("feature")
         .agg(

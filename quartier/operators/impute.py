@@ -10,16 +10,27 @@ from pyspark.sql import functions as F
 from quartier.functions.exprs import flag
 from quartier.operators.quantiles import median, scalar_quantiles, value_count
 from quartier.operators.state import FitStep, FittedStep, keep_table, kept_table, lookup_kept
+from quartier.sources.tables import union_all
 
 
 def mode_smallest(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, mode, count) per column; among equally frequent values the smallest wins."""
-    long = df.select([F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "value")
-    counts = long.dropna(subset=["value"]).groupBy("feature", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("feature").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-        F.max("n").alias("count"),
-    )
+    """(feature, mode as text, count) per column; among equally frequent values the smallest of its own type wins.
+
+    Columns of one type are counted together, so values are compared as what they are: 9 before 10.
+    """
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+
+    def of(same: list[str]) -> DataFrame:
+        long = df.select(*same).unpivot([], same, "feature", "value").dropna(subset=["value"])
+        counts = long.groupBy("feature", "value").agg(F.count("*").alias("n"))
+        return counts.groupBy("feature").agg(
+            F.min_by("value", F.struct(-F.col("n"), F.col("value"))).cast("string").alias("mode"),
+            F.max("n").alias("count"),
+        )
+
+    return union_all([of(same) for same in kinds.values()])
 
 
 class GroupMedianImputer(FitStep):

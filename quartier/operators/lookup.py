@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quartier.session import scratch_path
 
 BROADCAST_ROWS = 50_000
 BROADCAST_BYTES = 64 << 20
@@ -14,31 +16,47 @@ HOT_SHARE = 1_000
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame | None:
     """``df`` as a local relation if it is proven small, else None.
 
-    At most ``rows + 1`` rows reach the driver, whatever the size of ``df``.
+    Partitions are read a few at a time until ``rows + 1`` rows have come, so neither the driver nor a task ever
+    holds more, whatever the size of ``df``. For tables that are not needed if they are too large: see ``stored``.
     """
     rows = BROADCAST_ROWS if rows is None else rows
-    table: pa.Table = df.limit(rows + 1).toArrow()
-    if table.num_rows > rows or table.nbytes > BROADCAST_BYTES:
+    found = df.select("*", row_bytes(df).alias("_bytes")).limit(rows + 1).collect()
+    if len(found) > rows or sum(r["_bytes"] for r in found) > BROADCAST_BYTES:
         return None
-    return df.sparkSession.createDataFrame(table, df.schema)
+    return df.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], df.schema)
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """A measure of each row's size: 8 bytes a value, and the length of texts."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    lengths = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in texts]
+    return sum(lengths, F.lit(8 * len(df.columns)).cast("long"))
+
+
+def stored(df: DataFrame, name: str = "table") -> tuple[DataFrame, bool, str]:
+    """``df`` computed once into the shared folder: the stored copy, whether it is small enough to send, its path.
+
+    Rows and bytes are counted while they are written.
+    """
+    path, seen = scratch_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).write.parquet(path)
+    small = seen.get["rows"] <= BROADCAST_ROWS and (seen.get["bytes"] or 0) <= BROADCAST_BYTES
+    return df.sparkSession.read.schema(df.schema).parquet(path), small, path
 
 
-def lookup(
-    df: DataFrame, dim: DataFrame, on: list[str], rows: int | None = None, size: int | None = None
-) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, on: list[str], size: int | None = None) -> DataFrame:
     """Left join to ``dim``, whose key ``on`` is unique; NULL keys find nothing.
 
-    A proven-small ``dim`` is broadcast. The proof is to collect it up to the limit, or ``size``:
-    the row count of a ``dim`` of numbers or bounded text that the caller has counted. Beyond that, keys holding more than one thousandth
-    of the rows (so at most a thousand keys) are joined by broadcast and the rest by shuffle.
+    A proven-small ``dim`` is broadcast. The proof is its stored copy, or ``size``: the row count of a ``dim`` of
+    numbers or bounded text that the caller has counted. Beyond that, keys holding more than one thousandth of the
+    rows (so at most a thousand keys) are joined by broadcast and the rest by shuffle, all from the stored copy.
     """
-    limit = BROADCAST_ROWS if rows is None else rows
     if size is None:
-        local = bounded(dim, limit)
+        dim, small, _ = stored(dim)
     else:
-        local = dim if size <= limit else None
-    if local is not None:
-        return df.join(F.broadcast(local), on, "left")
+        small = size <= BROADCAST_ROWS
+    if small:
+        return df.join(F.broadcast(dim), on, "left")
     present = _all_present(on)
     known, missing = df.where(present), df.where(~present)
     extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in dim.schema if f.name not in on]

@@ -6,13 +6,14 @@ import json
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader, MLWriter,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartier.operators.lookup import bounded, lookup
-from quartier.session import scratch_path
+from quartier.operators.lookup import lookup, stored
 
 
 class Configured(Params, DefaultParamsReadable, DefaultParamsWritable):
@@ -48,15 +49,41 @@ class FittedStep(Configured, Model):
         return json.loads(self.getOrDefault(self.state_json))
 
 
+    def write(self) -> MLWriter:
+        return _StepWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StepReader(cls)
+
+
+class _StepWriter(DefaultParamsWriter):
+    """Settings and state, and beside them a copy of every table that the state only points to."""
+
+    def saveImpl(self, path: str) -> None:
+        super().saveImpl(path)
+        for key, kept in self.instance.state.items():
+            if isinstance(kept, dict) and "path" in kept:
+                kept_table(self.sparkSession, kept).write.parquet(f"{path}/tables/{key}")
+
+
+class _StepReader(DefaultParamsReader):
+    """The loaded step points to the copies in its own folder."""
+
+    def load(self, path: str) -> FittedStep:
+        step = super().load(path)
+        state = step.state
+        for key, kept in state.items():
+            if isinstance(kept, dict) and "path" in kept:
+                kept["path"] = f"{path}/tables/{key}"
+        return step._set(state_json=json.dumps(state))
+
+
 def keep_table(table: DataFrame, name: str) -> dict:
-    """Hold a fitted table: inline if proven small, else as parquet in the shared folder."""
+    """Hold a fitted table: inline if proven small, else as parquet in the shared folder until the step is saved."""
+    copy, small, path = stored(table, name)
     kept = {"schema": table.schema.json()}
-    small = bounded(table)
-    if small is not None:
-        return {**kept, "rows": [list(r) for r in small.collect()]}
-    path = scratch_path(table.sparkSession, name)
-    table.write.parquet(path)
-    return {**kept, "path": path}
+    return {**kept, "rows": [list(r) for r in copy.collect()]} if small else {**kept, "path": path}
 
 
 def kept_table(spark: SparkSession, kept: dict) -> DataFrame:

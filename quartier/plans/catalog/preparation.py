@@ -23,7 +23,30 @@ def scan_csv_roundtrip(spark, d):
     df = clean_listings(spark, d)
     path = scratch_path(spark, "listings-csv")
     tables.write_delimited(df, path)
-    return tables.read_delimited(spark, path, df.schema)
+    return tables.read_delimited(spark, path, df.schema, escaped=True)
+
+
+@query("scan_csv_texts", "SELECT doc_id, text, lang FROM documents")
+def scan_csv_texts(spark, d):
+    """Texts with line breaks, quotes and backslashes come back as they were."""
+    df = tables.read_table(spark, d, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "texts-csv")
+    tables.write_delimited(df, path)
+    return tables.read_delimited(spark, path, df.schema, escaped=True)
+
+
+_NUMBERS = ["l_quantity", "l_linenumber"]
+
+
+@query(
+    "mode_numbers",
+    "WITH c AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {c}::VARCHAR AS mode, count(*) AS n, {c}::DOUBLE AS v FROM lineitem"
+        f" WHERE {c} IS NOT NULL GROUP BY {c}" for c in _NUMBERS
+    ) + ") SELECT feature, arg_min(mode, (-n, v)) AS mode, max(n) AS count FROM c GROUP BY 1",
+)
+def mode_numbers(spark, d):
+    return mode_smallest(tables.read_table(spark, d, "lineitem"), _NUMBERS)
 
 
 @query("clean_listings", CLEAN_SQL)
@@ -417,4 +440,18 @@ _SCREEN = ["offer_type", "building_material", "is_old"]
 )
 def weak_feature_screen(spark, d):
     df = unit_listings(spark, d).withColumn("is_old", exprs.flag(F.col("build_year") < 2000))
-    return rounded(groupings.weak_features(df, [*_SCREEN, "not_there"], "unit", 30))
+    return rounded(groupings.weak_features(df, [*_SCREEN, "not_there"], "unit", 30).drop("medians"))
+
+
+@query(
+    "weak_feature_medians",
+    f"WITH {UNITS}, w AS (SELECT *, coalesce((build_year < 2000)::INTEGER, 0)::VARCHAR AS is_old FROM l), m AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {c} AS level, median(unit) AS m FROM w WHERE {c} IS NOT NULL GROUP BY {c}" for c in _SCREEN
+    )
+    + f") SELECT feature, level, {r('m')} AS median FROM m",
+)
+def weak_feature_medians(spark, d):
+    df = unit_listings(spark, d).withColumn("is_old", exprs.flag(F.col("build_year") < 2000))
+    screen = groupings.weak_features(df, _SCREEN, "unit", 30)
+    return rounded(screen.select("feature", F.explode("medians").alias("level", "median")))

@@ -61,6 +61,21 @@ def median_spread_argmax(spark, d):
     return rounded(groupings.median_spread(unit_listings(spark, d), CATS, "unit"))
 
 
+@query(
+    "median_spread_trimmed",
+    f"WITH {UNITS}, q AS (SELECT quantile_cont(unit, 0.99) AS hi FROM l),"
+    f" t AS (SELECT * REPLACE ({', '.join(f"coalesce({c}::VARCHAR, 'missing') AS {c}" for c in CATS)})"
+    f" FROM l CROSS JOIN q WHERE unit < hi), m AS ({_level_medians_sql(CATS, 't', 'unit')}),"
+    " k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY m DESC, level) AS hi,"
+    " row_number() OVER (PARTITION BY feature ORDER BY m, level) AS lo FROM m)"
+    f" SELECT feature, {r('min(m)')} AS median_min, {r('max(m)')} AS median_max, {r('max(m) - min(m)')} AS spread,"
+    " max(CASE WHEN hi = 1 THEN level END) AS top, max(CASE WHEN lo = 1 THEN level END) AS bottom FROM k GROUP BY 1",
+)
+def median_spread_trimmed(spark, d):
+    """Missing values as a level of their own, rows from the 0.99 quantile on left out."""
+    return rounded(groupings.median_spread(unit_listings(spark, d), CATS, "unit", "missing", 0.99))
+
+
 @query(
     "category_order",
     f"WITH {UNITS}, m AS (SELECT series, median(unit) AS m FROM l WHERE series IS NOT NULL GROUP BY 1)"

@@ -32,7 +32,7 @@ def profile_reports(
         "linearity": lambda: profile.linearity(logged, numbers, target),
         "anova": lambda: profile.anova(logged, cats, target),
         "unit_summary": lambda: profile.grouped_summary(df, cats, unit),
-        "unit_spread": lambda: groupings.median_spread(df, cats, unit),
+        "unit_spread": lambda: groupings.median_spread(df, cats, unit, "missing", 0.99),
         "correlation": lambda: profile.corr_matrix(df, numbers),
         "vif": lambda: profile.vif(df.dropna(subset=numbers), numbers),
         "geo_spread": lambda: groupings.median_spread(placed(), ["geo_cluster"], price),

@@ -14,7 +14,7 @@ from quartier.session import scratch_path
 
 # The cell texts a delimited scan reads as missing.
 NA_TOKENS = [
-    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
@@ -33,30 +33,49 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns(floating) if floating else df
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+# A line break would end a row for a reader that splits files, so the writer marks it; in this order, undone likewise.
+_MARKS = [("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r")]
+
+
+def read_delimited(
+    spark: SparkSession, path: str, schema: T.StructType, escaped: bool = False, multi_line: bool = False
+) -> DataFrame:
     """Scan delimited text with a header; missing-value tokens become NULL in every column.
 
     Cells are read as text and cast, so that a token such as ``N/A`` in a number column is a
     missing value and any other unreadable number is an error, not a silent NULL.
+    ``escaped`` undoes what ``write_delimited`` did to line breaks; ``multi_line`` reads quoted line breaks
+    of other writers, at the price of one task a file.
     """
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = (
         spark.read.schema(as_text)
         .option("header", True)
-        .option("multiLine", False)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
 
     def typed(field: T.StructField) -> Column:
         c = F.col(f"`{field.name}`")
-        return F.when(~c.isin(NA_TOKENS), c).cast(field.dataType).alias(field.name)
+        text = F.when(~c.isin(NA_TOKENS), c)
+        for plain, mark in reversed(_MARKS) if escaped else []:
+            text = F.replace(text, F.lit(mark), F.lit(plain))
+        return text.cast(field.dataType).alias(field.name)
 
     return nan_as_null(raw.select([typed(f) for f in schema.fields]))
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Delimited text with a header, one line a row: read it with ``escaped=True``."""
+    for field in df.schema:
+        if isinstance(field.dataType, T.StringType):
+            text = F.col(f"`{field.name}`")
+            for plain, mark in _MARKS:
+                text = F.replace(text, F.lit(plain), F.lit(mark))
+            df = df.withColumn(field.name, text)
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **plain).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -120,3 +120,11 @@ def test_kmeans_one_hot(spark):
     out = geo.GeoKMeans(cols=["lat", "lon"], k=4, restarts=2, out="k").fit(df).transform(df)
     vectors = np.array([r["k"].toArray() for r in out.select("k").collect()])
     assert (vectors.sum(axis=1) == 1).all() and (vectors.sum(axis=0) > 0).sum() == 4
+
+
+def test_far_coordinates_lie_in_a_zone(spark):
+    x, y, v = surface()
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), v.tolist())), "lat double, lon double, v double")
+    model = GeoZones(x="lat", y="lon", target="v", max_leaves=5).fit(df)
+    far = spark.createDataFrame([(2e9, -3e12), (-2e9, 5e9)], "lat double, lon double")
+    assert model.assign(far).where("geo_zone_leaf is null").count() == 0

@@ -130,3 +130,13 @@ def test_spatial_variant_pipeline_keeps_rows(spark, sf_dir):
     assert scored.count() == df.count() and scored.where("prediction is null or isnan(prediction)").count() == 0
     importances = evaluate.boosted_importance(df, address="tfidf", cats="onehot_rich", buckets=16, maxIter=2)
     assert importances.agg(F.sum("importance")).first()[0] == pytest.approx(1)
+
+
+def test_folds_that_are_not_all_scored_are_refused(spark, linear):
+    _, _, df = linear
+    ten = with_fold(df.drop("fold"), "id", 10)
+    with pytest.raises(ValueError):
+        oof_predict(ten, models.Ridge(1.0), k=5)
+    with pytest.raises(ValueError):
+        oof_predict(ten.withColumn("fold", F.when(F.col("fold") > 0, F.col("fold"))), models.Ridge(1.0), k=10)
+    assert oof_predict(ten, models.Ridge(1.0), k=10).count() == df.count()

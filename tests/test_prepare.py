@@ -93,6 +93,55 @@ def test_aligned_merge_refuses_mismatches(spark):
         filters.aligned_merge(a, b.where("k = 1"), "k", "p", ["c"])
 
 
+def test_aligned_merge_refuses_repeated_and_null_keys(spark):
+    a = spark.createDataFrame([(1, 5.0), (1, 5.0)], "k int, p double")
+    b = spark.createDataFrame([(1, 5.0, "x"), (1, 5.0, "y")], "k int, p double, c string")
+    for left, right in ((a, b), (a.limit(1), b), (a, b.limit(1)), (a.withColumn("k", F.lit(None).cast("int")), b)):
+        with pytest.raises(ValueError):
+            filters.aligned_merge(left, right, "k", "p", ["c"])
+    assert filters.aligned_merge(a.limit(1), b.limit(1), "k", "p", ["c"]).columns == ["k", "p", "c"]
+
+
+def test_mode_compares_numbers_as_numbers(spark):
+    df = spark.createDataFrame([(9, "9"), (10, "10")], "n int, s string")
+    assert {r["feature"]: r["mode"] for r in mode_smallest(df, ["n", "s"]).collect()} == {"n": "9", "s": "10"}
+
+
+def test_delimited_keeps_line_breaks_and_backslashes(spark):
+    df = spark.createDataFrame([(1, 'a\nb\r\n"c", d'), (2, "\\n \\s\\"), (3, " "), (4, None)], "k int, s string")
+    path = scratch_path(spark, "csv")
+    tables.write_delimited(df, path)
+    assert rows(tables.read_delimited(spark, path, df.schema, escaped=True)) == rows(df)
+    foreign = scratch_path(spark, "csv")
+    spark.createDataFrame([('k,s\n1,"a\nb"\n2,c\\n',)], "v string").coalesce(1).write.text(foreign)
+    got = tables.read_delimited(spark, foreign, df.schema, multi_line=True)
+    assert rows(got) == [(1, "a\nb"), (2, "c\\n")]
+
+
+def test_saved_step_holds_its_tables(spark, monkeypatch):
+    """A state above the inline limit is loaded after its scratch folder is gone."""
+    from quartier.operators import lookup
+
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    df = spark.createDataFrame([(f"g{k % 9}", float(k)) for k in range(90)], "g string, v double")
+    model = GroupMedianImputer(col="v", by="g").fit(df)
+    scratch = model.state["groups"]["path"]
+    path = scratch_path(spark, "imputer")
+    model.write().overwrite().save(path)
+    want = rows(model.transform(df.withColumn("v", F.lit(None).cast("double"))))
+    spark.read.parquet(scratch).limit(0).write.mode("overwrite").parquet(scratch)
+    loaded = type(model).load(path)
+    assert loaded.state["groups"]["path"] != scratch
+    assert rows(loaded.transform(df.withColumn("v", F.lit(None).cast("double")))) == want
+
+
+def test_screen_keeps_its_medians(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 50.0), (None, 90.0)], "c string, unit double")
+    assert groupings.weak_features(df, ["c", "absent"], "unit", 30).first()["medians"] == {"a": 2.0, "b": 50.0}
+    spread = groupings.median_spread(df, ["c"], "unit", "missing").first()
+    assert (spread["top"], spread["bottom"], spread["spread"]) == ("missing", "a", 88.0)
+
+
 def test_folds_cover_every_row_once_and_keep_groups(spark, sf_dir):
     events = with_fold(tables.read_table(spark, sf_dir, "events"), "event_id", 5, group="user_id")
     assert events.groupBy("user_id").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
