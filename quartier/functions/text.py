@@ -76,6 +76,20 @@ def grams(text: Column, analyzer: str, low: int, high: int) -> Column:
     raise ValueError(f"unknown analyzer {analyzer!r}")
 
 
+def marked_grams(text: Column, analyzer: str, low: int, high: int) -> Column:
+    """The n-grams of a text as (term, new): ``new`` is 1 at one occurrence of each distinct n-gram, else 0."""
+
+    def mark(ordered: Column) -> Column:
+        return F.transform(
+            ordered,
+            lambda g, i: F.struct(
+                g.alias("term"), F.when((i > 0) & F.get(ordered, i - 1).eqNullSafe(g), 0).otherwise(1).alias("new")
+            ),
+        )
+
+    return _once(F.sort_array(grams(text, analyzer, low, high)), mark)
+
+
 def hash_number(text: Column) -> Column:
     """A 32-bit content hash that any SQL engine with MD5 can repeat."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")

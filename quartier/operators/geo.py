@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartier.operators.lookup import bounded
 from quartier.operators.quantiles import bucket_of, quantiles
-from quartier.operators.state import FitStep
+from quartier.operators.state import Configured, FitStep
 
 MAX_CENTROIDS = 1_000
 MAX_ZONES = 10_000
@@ -139,9 +141,20 @@ def best_split(df: DataFrame, x: str, y: str, bins: int, min_rows: int) -> DataF
     return scored.orderBy(F.desc("gain"), "bin").limit(1)
 
 
+class MissingSlot(Configured, Transformer):
+    """Rows that lack one of ``cols`` get the label ``slot``: ``MissingSlot(cols=, label=, slot=)``."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        c = self.conf
+        lacks = reduce(or_, [F.col(x).isNull() | F.isnan(F.col(x).cast("double")) for x in c["cols"]])
+        return df.withColumn(c["label"], F.when(lacks, F.lit(c["slot"])).otherwise(F.col(c["label"])))
+
+
 class GeoKMeans(FitStep):
     """Best of several KMeans restarts on coordinates, as a one-hot vector column ``out``.
 
+    Rows without a place are cluster ``k`` and have the last slot of the vector, next to the clusters' own.
+
     ``GeoKMeans(cols=[x, y], k=8, restarts=10, seed=0, out="geo")``
     """
 
@@ -162,7 +175,7 @@ class GeoKMeans(FitStep):
         finally:
             points.unpersist()
         best = min(fits, key=lambda m: m.summary.trainingCost)
-        hot = OneHotEncoder(
-            inputCols=[f"{out}_cluster"], outputCols=[out], dropLast=False, handleInvalid="keep"
-        ).fit(best.transform(assemble.transform(df)))
-        return PipelineModel(stages=[assemble, best, hot])
+        hot = OneHotEncoder(inputCols=[f"{out}_cluster"], outputCols=[out], dropLast=False, handleInvalid="keep")
+        known = df.sparkSession.createDataFrame([(i,) for i in range(c["k"])], f"{out}_cluster int")
+        missing = MissingSlot(cols=c["cols"], label=f"{out}_cluster", slot=c["k"])
+        return PipelineModel(stages=[assemble, best, missing, hot.fit(known)])

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from quartier.operators import metrics, models
 from quartier.operators.encode import oof_target_mean
+from quartier.operators.evaluate import cv_score, grid_search, oof_predict
 from quartier.operators.folds import with_fold
+from quartier.operators.geo import GeoKMeans
 from quartier.operators.groupings import unpivot_levels
 from quartier.plans.catalog.registry import LISTINGS, fold_sql, query, r, rounded
 from quartier.sources.listings import clean_listings
@@ -183,6 +186,84 @@ def ridge_1d(spark, d):
     return rounded(_line(spark, models.Ridge(alpha=5000.0).fit(_points(spark, d))))
 
 
+_FOLDED = f"""{_T.replace('t AS (SELECT', 't AS (SELECT listing_id, ' + fold_sql('listing_id') + ' AS fold,', 1)}"""
+
+
+def _folded_points(spark, d):
+    df = clean_listings(spark, d).select("listing_id", F.col("area_total"), F.log1p("usd_price_syn").alias("label"))
+    return VectorAssembler(inputCols=["area_total"], outputCol="features").transform(with_fold(df, "listing_id"))
+
+
+@query(
+    "oof_ols_1d",
+    f"WITH {_FOLDED}, k AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a"
+    " FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold GROUP BY 1)"
+    f" SELECT listing_id, fold, {r('a + b * x')} AS prediction FROM t JOIN k USING (fold)",
+)
+def oof_ols_1d(spark, d):
+    """Every row scored by the model of the other folds."""
+    scored = oof_predict(_folded_points(spark, d), models.ols(), keep=["listing_id", "fold"])
+    return rounded(scored)
+
+
+@query(
+    "cv_ols_1d",
+    f"WITH {_FOLDED}, k AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a"
+    " FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold GROUP BY 1),"
+    " s AS (SELECT fold, 1 - sum(pow(y - a - b * x, 2)) / (var_pop(y) * count(*)) AS r2 FROM t JOIN k USING (fold) GROUP BY 1)"
+    f" SELECT {r('avg(r2)')} AS r2_mean, {r('stddev_pop(r2)')} AS r2_std, count(*) AS folds FROM s",
+)
+def cv_ols_1d(spark, d):
+    return rounded(cv_score(_folded_points(spark, d), models.ols(), "label"))
+
+
+_PENALTIES = [0.5, 5_000.0, 500_000.0]
+
+
+@query(
+    "grid_ridge_1d",
+    f"WITH {_FOLDED}, g(config, alpha) AS (VALUES {', '.join(f'({i}, {a}::DOUBLE)' for i, a in enumerate(_PENALTIES))}),"
+    " k AS (SELECT f.fold, config, regr_sxy(y, x) / (regr_sxx(y, x) + any_value(alpha)) AS b, avg(y) AS my, avg(x) AS mx"
+    " FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold CROSS JOIN g GROUP BY 1, 2),"
+    " s AS (SELECT config, fold, sqrt(avg(pow(y - my - b * (x - mx), 2))) AS rmse FROM t JOIN k USING (fold) GROUP BY 1, 2)"
+    f" SELECT config::INTEGER AS config, {r('avg(rmse)', 5)} AS rmse_mean, {r('stddev_pop(rmse)', 5)} AS rmse_std FROM s GROUP BY 1",
+)
+def grid_ridge_1d(spark, d):
+    """Fold scores of every penalty of a grid."""
+    ridge = models.Ridge()
+    grid = [{ridge.alpha: a} for a in _PENALTIES]
+    table, _ = grid_search(_folded_points(spark, d), ridge, grid, "label")
+    return rounded(table.drop("params"), 5)
+
+
+@query(
+    "boosted_stump",
+    f"WITH {LISTINGS}, t AS (SELECT (condition IN ('1-URGENT', '2-HIGH'))::INTEGER AS flag, ln(1 + usd_price_syn) AS y FROM l"
+    f" WHERE condition IS NOT NULL) SELECT flag, count(*) AS n, {r('avg(y)')} AS prediction, 1.0::DOUBLE AS importance FROM t GROUP BY 1",
+)
+def boosted_stump(spark, d):
+    """One round of one split on a flag: the means of its two groups, and all the importance."""
+    df = clean_listings(spark, d).dropna(subset=["condition"])
+    df = df.select(F.col("condition").isin("1-URGENT", "2-HIGH").cast("int").alias("flag"), F.log1p("usd_price_syn").alias("label"))
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=["flag"], outputCol="features"), models.boosted(maxIter=1, maxDepth=1)])
+    model = pipeline.fit(df)
+    scored = model.transform(df)
+    (weight,) = [r["importance"] for r in models.importance(model, scored, ["flag"]).collect()]
+    means = scored.groupBy("flag").agg(F.count("*").alias("n"), F.avg("prediction").alias("prediction"))
+    return rounded(means.withColumn("importance", F.lit(float(weight))))
+
+
+@query(
+    "kmeans_points",
+    f"WITH {LISTINGS} SELECT listing_id % 2 * 10.0::DOUBLE AS a, listing_id % 3 * 10.0::DOUBLE AS b, count(*) AS n FROM l GROUP BY 1, 2",
+)
+def kmeans_points(spark, d):
+    """As many clusters as distinct points: each cluster is one point."""
+    ids = clean_listings(spark, d).select((F.col("listing_id") % 2 * 10.0).alias("a"), (F.col("listing_id") % 3 * 10.0).alias("b"))
+    placed = GeoKMeans(cols=["a", "b"], k=6, out="c").fit(ids).transform(ids)
+    return placed.groupBy("c_cluster").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n")).drop("c_cluster")
+
+
 @query(
     "huber_weights",
     f"WITH {LISTINGS}, t AS (SELECT listing_id, area_total AS x, ln(1 + usd_price_syn) AS y FROM l),"

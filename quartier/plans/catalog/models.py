@@ -50,7 +50,7 @@ def geo_tree_sweep(spark, d):
 @query("geo_kmeans")
 def geo_kmeans(spark, d):
     df = _place_table(spark, d)
-    placed = geo.GeoKMeans(cols=["lat", "lon"], k=8, restarts=3).fit(df).transform(df)
+    placed = geo.GeoKMeans(cols=["lat", "lon"], k=8).fit(df).transform(df)
     return placed.groupBy("geo_km_cluster").agg(F.count("*").alias("n"), F.avg("unit").alias("unit_mean"))
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from quartier.functions import exprs, parse
 from quartier.operators import filters, groupings
 from quartier.operators.folds import with_fold
-from quartier.operators.impute import GroupMedianImputerModel, fill_label, mode_smallest, shape
+from quartier.operators.impute import GroupMedianImputer, GroupMedianImputerModel, fill_label, mode_smallest, shape
 from quartier.operators.impute import missing_report as missing_table
 from quartier.plans.catalog.registry import (
     LINE_KEY, LINE_KEY_SQL, LISTINGS, UNITS, fold_sql, query, r, rounded, unit_lines, unit_listings,
 )
-from quartier.plans.prepare import UNFINISHED, listing_imputer
+from quartier.plans.prepare import UNFINISHED, fit_preparation, listing_imputer
 from quartier.session import scratch_path
 from quartier.sources import tables
 from quartier.sources.listings import CLEAN_SQL, clean_listings, raw_listings
@@ -426,6 +427,39 @@ def apply_groups(spark, d):
     return model.transform(df.where("fold = 0").drop("fold", "unit"))
 
 
+@query(
+    "impute_by_group",
+    f"WITH {LISTINGS}, g AS (SELECT building_material, median(build_year) AS fill FROM l GROUP BY 1),"
+    " a AS (SELECT median(build_year) AS fill FROM l)"
+    " SELECT listing_id, coalesce(build_year, g.fill, a.fill)::DOUBLE AS build_year FROM l"
+    " LEFT JOIN g ON g.building_material = l.building_material CROSS JOIN a",
+)
+def impute_by_group(spark, d):
+    """Look-up of a fitted median by group, then the overall one."""
+    df = clean_listings(spark, d).select("listing_id", "building_material", F.col("build_year").cast("double").alias("build_year"))
+    model = GroupMedianImputer(col="build_year", by="building_material").fit(df)
+    return model.transform(df).select("listing_id", "build_year")
+
+
+@query(
+    "feature_table",
+    f"""WITH {LISTINGS}, {_SPLIT},
+ft AS (WITH {impute_sql('train', 'train')} {_FILLED}), fe AS (WITH {impute_sql('train', 'test')} {_FILLED}),
+s AS (SELECT series, median(usd_price / nullif(area_total, 0)) AS median FROM ft WHERE series IS NOT NULL GROUP BY 1),
+q AS (SELECT quantile_cont(median, 1/3::DOUBLE) AS q_low, quantile_cont(median, 2/3::DOUBLE) AS q_high FROM s),
+t AS (SELECT series, CASE WHEN median <= q_low THEN 'low' WHEN median <= q_high THEN 'mid' ELSE 'high' END AS g
+      FROM s CROSS JOIN q)
+SELECT fe.*, coalesce((condition IN ('1-URGENT', '2-HIGH'))::INTEGER, 0) AS condition_unfinished,
+       coalesce(g, 'mid') AS series_group FROM fe LEFT JOIN t ON t.series = fe.series""",
+)
+def feature_table(spark, d):
+    """The whole preparation: fitted on training rows, saved, loaded and applied to the others."""
+    df = with_fold(clean_listings(spark, d), "listing_id")
+    path = scratch_path(spark, "preparation")
+    fit_preparation(df.where("fold <> 0").drop("fold")).write().save(path)
+    return PipelineModel.load(path).transform(df.where("fold = 0").drop("fold"))
+
+
 _SCREEN = ["offer_type", "building_material", "is_old"]
 
 

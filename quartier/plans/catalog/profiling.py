@@ -193,6 +193,17 @@ def anova_f(spark, d):
     return rounded(profile.anova(df, CATS, "y").drop("p"))
 
 
+@query(
+    "anova_p_three_levels",
+    f"WITH {LISTINGS}, t AS (SELECT *, ln(1 + usd_price_syn) AS y FROM l), a AS ({_anova_sql('building_material')})"
+    " SELECT feature, floor(pow(1 + 2 * f / df_within, -df_within / 2.0) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS p FROM a WHERE df_between = 2",
+)
+def anova_p_three_levels(spark, d):
+    """With two degrees of freedom between groups the tail has a closed form."""
+    df = clean_listings(spark, d).withColumn("y", F.log1p("usd_price_syn"))
+    return rounded(profile.anova(df, ["building_material"], "y").where("df_between = 2").select("feature", "p"))
+
+
 @query("anova_p")
 def anova_p(spark, d):
     df = clean_listings(spark, d).withColumn("y", F.log1p("usd_price_syn"))

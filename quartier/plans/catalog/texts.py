@@ -35,9 +35,8 @@ def tokenize_words(spark, d):
     " SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM h GROUP BY 1",
 )
 def word_ngrams(spark, d):
-    docs = read_table(spark, d, "documents")
-    counts = textfeatures.gram_counts(docs, "doc_id", "text", "word", 1, 3)
-    return counts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    docs = spread(read_table(spark, d, "documents").select("text"))
+    return textfeatures.term_counts(docs, "text", "word", 1, 3)
 
 
 def _char_wb_sql(low: int, high: int) -> str:
@@ -113,7 +112,7 @@ k AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS we
 
 
 def _tfidf(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text", "lang"))
     return docs, textfeatures.Tfidf(key="doc_id", text="text", min_df=3, max_features=4000).fit(docs)
 
 
