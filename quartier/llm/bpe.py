@@ -27,6 +27,7 @@ from quartier.llm.text import id_text
 # Fixed value of the tokenizer family: white space is dropped, pieces are contractions, letters, one digit, others.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 END = "</w>"
+ROWS_OUT = 512  # rows of a result batch, which hold more than the texts
 NONE = np.iinfo(np.int32).max
 
 
@@ -216,7 +217,9 @@ def _map(docs: DataFrame, path: str, schema: str, row) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 coded = encoder.encode(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *row(encoder, coded)], names=NAMES[schema])
+                for a in range(0, len(coded), ROWS_OUT):
+                    ids = batch.column("doc_id").slice(a, ROWS_OUT)
+                    yield pa.RecordBatch.from_arrays([ids, *row(encoder, coded[a : a + ROWS_OUT])], names=NAMES[schema])
 
     return id_text(docs).mapInArrow(run, schema)
 
