@@ -139,10 +139,10 @@ def median_spread(
     )
 
 
-def category_order(df: DataFrame, col: str, value: str) -> DataFrame:
+def category_order(df: DataFrame, col: str, value: str, exact_rows: int | None = None) -> DataFrame:
     """Levels with their median of ``value`` and its rank (1 + levels with a smaller median)."""
-    levels = median(df, value, [col], "median").dropna(subset=["median"])
+    levels = median(df, value, [col], "median", exact_rows=exact_rows).dropna(subset=["median"])
     counts = levels.groupBy("median").agg(F.count("*").alias("_n"))
-    ranked = values_below(counts, [], "median", "_n", "_below")
+    ranked = values_below(counts, [], "median", "_n", "_below", exact_rows)
     position = lookup(levels, ranked.select("median", "_below"), ["median"])
     return position.select(col, "median", (F.col("_below") + 1).alias("position"))

@@ -1,7 +1,7 @@
 """Queries on fitted models: no SQL twin, checked by invariants and brute force in the tests.
 
 They run over the whole tables; grids, folds and iterations are kept short of the full
-experiments in ``quartier.plans.evaluate``, whose defaults are the complete ones.
+experiments, which are the defaults of the plans in ``quartier.plans.evaluate``.
 """
 
 from __future__ import annotations
@@ -73,7 +73,8 @@ def hash_ridge_sweep(spark, d):
 
 @query("huber_grid")
 def huber_grid(spark, d):
-    table, _ = evaluate.huber_search(modelling_table(spark, d), [1e-5, 1e-3], [0.15], [0.1, 0.5], buckets=64, k=3)
+    settings = {"alpha": [1e-5, 1e-3], "l1Ratio": [0.15], "epsilon": [0.1, 0.5]}
+    table, _ = evaluate.huber_search(modelling_table(spark, d), settings, buckets=64, k=3)
     return table
 
 
@@ -92,10 +93,26 @@ def boosted_ablation(spark, d):
         "log_grouped_logarea": {"cats": "native_grouped", "area": "log", "address": "none"},
     }
     return evaluate.boosted_ablation(
-        modelling_table(spark, d), configs, "usd_price_syn", k=3, maxIter=10, maxDepth=5, stepSize=0.3, maxBins=64
+        modelling_table(spark, d), "usd_price_syn", configs, k=3, maxIter=10, maxDepth=5, stepSize=0.3, maxBins=64
     )
 
 
+@query("boosted_tuning")
+def boosted_tuning(spark, d):
+    rounds = {"search": 5, "compare": 10, "final": 10}
+    return evaluate.boosted_tuning(
+        modelling_table(spark, d), "usd_price_syn", [{"maxDepth": 3, "stepSize": 0.3}, {"maxDepth": 5, "stepSize": 0.3}],
+        k=3, rounds=rounds, address="none", maxBins=64,
+    )
+
+
+@query("feature_sets")
+def feature_sets(spark, d):
+    """All six feature sets on hashed addresses, categories and places."""
+    df = modelling_table(spark, d).withColumn("log_unit", F.log(ratio(F.col("usd_price_syn"), F.col("area_total"))))
+    return evaluate.feature_sets(df, "log_unit", buckets=64, k=3)
+
+
 @query("boosted_importance")
 def boosted_importance(spark, d):
     return evaluate.boosted_importance(
