@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartier.llm.sums import summed
-from quartier.llm.text import Block, blocks, mix, utf8
+from quartier.llm.text import SPACE, Block, blocks, mix, utf8
 
 BUCKET_BITS = 15
 SIZE = 64
-SPARSE = 4  # nonzero components of an index vector
+SPARSE = 2  # nonzero components of an index vector
 REACH = 2
 SHAPES = 64
 HIDDEN = 32
@@ -37,16 +37,20 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int64), rng.choice([-1.0, 1.0], (1 << BUCKET_BITS, SPARSE))
 
 
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
 def word_buckets(block: Block) -> np.ndarray:
-    return (block.word_hashes() >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return bucket_of(block.word_hashes())
 
 
 def context_sums(docs: DataFrame) -> np.ndarray:
     """Sums of neighbours' index vectors by word bucket over all texts, and how often each bucket occurs."""
-    at, sign = index_vectors()
     n = 1 << BUCKET_BITS
 
     def add(batches: Iterator[pa.RecordBatch], total: np.ndarray) -> None:
+        at, sign = index_vectors()  # made in the task: arrays that were shipped take numpy's slow path in add.at
         sums, seen = total[: n * SIZE], total[n * SIZE :]
         for batch in batches:
             for _, _, texts in blocks(batch):
@@ -74,21 +78,20 @@ def word_vectors(total: np.ndarray) -> np.ndarray:
     return ((context + own) * (1e-3 / (1e-3 + share))[:, None]).astype(np.float32)
 
 
-# What a byte tells of a word's shape: upper case, lower case or above ASCII, digit, punctuation.
-_KIND = np.array([[65 <= b <= 90, 97 <= b <= 122 or b > 127, 48 <= b <= 57, b < 128 and not chr(b).isalnum()] for b in range(256)])
+# What a byte tells of a word's shape: upper case, lower case or above ASCII, digit, punctuation; blanks tell nothing.
+_KIND = np.array([0 if SPACE[b] else 1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b > 127 else 4 if 48 <= b <= 57 else 8 for b in range(256)], np.uint8)
 
 
-def shapes(block: Block) -> np.ndarray:
+def shapes(block: Block, hashes: np.ndarray) -> np.ndarray:
     """A small number for each word: which kinds of bytes it has, whether it is long, whether its text had it before."""
-    code = np.zeros(len(block.starts), np.int64)
-    for k in range(4):
-        total = np.concatenate(([0], np.cumsum(_KIND[block.buf, k], dtype=np.int32)))
-        code |= (total[block.ends] > total[block.starts]).astype(np.int64) << k
+    if not len(block.starts):
+        return np.empty(0, np.int64)
+    code = np.bitwise_or.reduceat(_KIND[block.buf], block.starts).astype(np.int64)
     code |= (block.ends - block.starts > 8).astype(np.int64) << 4
-    key = mix(block.word_hashes() ^ block.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first = np.unique(key, return_index=True)
-    again = np.ones(len(code), np.int64)
-    again[first] = 0
+    key = mix(hashes ^ block.doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(key, kind="stable")
+    again = np.zeros(len(code), np.int64)
+    again[order[1:][key[order[1:]] == key[order[:-1]]]] = 1
     return code | again << 5
 
 
@@ -99,14 +102,16 @@ def pooled(texts: list, vectors: np.ndarray) -> np.ndarray:
     full = np.flatnonzero(block.n_words)
     if len(full):
         n = block.n_words[full][:, None]
-        bucket, first = word_buckets(block), block.first[full]
+        hashes, first = block.word_hashes(), block.first[full]
+        bucket = bucket_of(hashes)
         for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(bucket)])):
             total = np.zeros(SIZE)
-            for s in range(a, b, 1 << 16):  # long texts in parts
-                total += vectors[bucket[s : min(b, s + (1 << 16))]].sum(0, dtype=np.float64)
+            for s in range(a, b, 1 << 12):  # long texts in parts
+                part = vectors[bucket[s : min(b, s + (1 << 12))]]
+                total += np.ones(len(part), np.float32) @ part
             out[full[k], :SIZE] = total
         out[full, :SIZE] /= n
-        counts = np.bincount(block.doc * SHAPES + shapes(block), minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
+        counts = np.bincount(block.doc * SHAPES + shapes(block, hashes), minlength=len(texts) * SHAPES).reshape(-1, SHAPES)
         out[full, SIZE : SIZE + SHAPES] = counts[full] / n
         out[:, -1] = np.log1p(block.n_words) / 10
     return out
