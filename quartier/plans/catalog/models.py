@@ -1,7 +1,7 @@
 """Queries on fitted models: no SQL twin, checked by invariants and brute force in the tests.
 
-They run over the whole tables; grids, folds and iterations are kept short of the full
-experiments, which are the defaults of the plans in ``quartier.plans.evaluate``.
+They run over the whole tables, with the grids, folds and iterations that are the defaults of the
+plans in ``quartier.plans``: the complete experiments.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from quartier.sources.listings import clean_listings
 from quartier.sources.tables import read_table
 
 
-def modelling_table(spark, d, k: int = 3):
+def modelling_table(spark, d, k: int = 5):
     """Prepared listings with folds, log price label and log area, materialised once."""
     df = filters.range_filter(clean_listings(spark, d), "lon", 70, 80)
     prepared = fit_preparation(df, price="usd_price_syn").transform(df)
@@ -67,70 +67,59 @@ def baseline_ols(spark, d):
 @query("hash_ridge_sweep")
 def hash_ridge_sweep(spark, d):
     df = modelling_table(spark, d).withColumn("log_unit", F.log(ratio(F.col("usd_price_syn"), F.col("area_total"))))
-    configs = {"word 1-2": ("word", 1, 2), "char 3-5": ("char_wb", 3, 5)}
-    return evaluate.hash_sweep(df, "log_unit", configs, [64, 1024], k=3)
+    return evaluate.hash_sweep(df, "log_unit")
 
 
 @query("huber_grid")
 def huber_grid(spark, d):
-    settings = {"alpha": [1e-5, 1e-3], "l1Ratio": [0.15], "epsilon": [0.1, 0.5]}
-    table, _ = evaluate.huber_search(modelling_table(spark, d), settings, buckets=64, k=3)
+    table, _ = evaluate.huber_search(modelling_table(spark, d))
     return table
 
 
 @query("spatial_variants")
 def spatial_variants(spark, d):
-    names = ["none", "tree_lognum", "kmeans_ohe"]
-    results = evaluate.spatial_variants(modelling_table(spark, d), 64, k=3, names=names)
+    results = evaluate.spatial_variants(modelling_table(spark, d))
     return metrics.variant_delta(results, "variant", "none", metrics.METRICS)
 
 
+# ``maxBins`` reaches the largest category cardinality.
 @query("boosted_ablation")
 def boosted_ablation(spark, d):
-    configs = {
-        "log_native_text": {"address": "text", "buckets": 32},
-        "usd_native": {"target": "usd", "address": "none"},
-        "log_grouped_logarea": {"cats": "native_grouped", "area": "log", "address": "none"},
-    }
-    return evaluate.boosted_ablation(
-        modelling_table(spark, d), "usd_price_syn", configs, k=3, maxIter=10, maxDepth=5, stepSize=0.3, maxBins=64
-    )
+    return evaluate.boosted_ablation(modelling_table(spark, d), "usd_price_syn", maxBins=64)
 
 
 @query("boosted_tuning")
 def boosted_tuning(spark, d):
-    rounds = {"search": 5, "compare": 10, "final": 10}
-    return evaluate.boosted_tuning(
-        modelling_table(spark, d), "usd_price_syn", [{"maxDepth": 3, "stepSize": 0.3}, {"maxDepth": 5, "stepSize": 0.3}],
-        k=3, rounds=rounds, address="none", maxBins=64,
-    )
+    return evaluate.boosted_tuning(modelling_table(spark, d), "usd_price_syn", maxBins=64)
 
 
 @query("feature_sets")
 def feature_sets(spark, d):
     """All six feature sets on hashed addresses, categories and places."""
     df = modelling_table(spark, d).withColumn("log_unit", F.log(ratio(F.col("usd_price_syn"), F.col("area_total"))))
-    return evaluate.feature_sets(df, "log_unit", buckets=64, k=3)
+    return evaluate.feature_sets(df, "log_unit")
 
 
 @query("boosted_importance")
 def boosted_importance(spark, d):
-    return evaluate.boosted_importance(
-        modelling_table(spark, d), address="none", maxIter=10, maxDepth=5, stepSize=0.3, maxBins=64
-    )
+    return evaluate.boosted_importance(modelling_table(spark, d), maxBins=64)
 
 
 @query("ward_place_profile")
 def ward_place_profile(spark, d):
-    labelled = segment_plans.by_place(_place_table(spark, d), micro=200)
-    return segment.cluster_profile(
-        labelled, "place_label", "unit", "usd_price_syn", "lat", "lon", "address", "listing_id"
-    ).drop("sample")
+    labelled = segment_plans.by_place(_place_table(spark, d))
+    return segment.cluster_profile(labelled, "place_label", "unit", "usd_price_syn", "lat", "lon", "address", "listing_id")
 
 
 @query("segment_agreement")
 def segment_agreement(spark, d):
+    """Agreement of the text segments and languages of documents, and of the place and address segments of listings."""
     docs = read_table(spark, d, "documents").select("doc_id", "text", "lang")
-    hashed = segment_plans.by_hashed_text(docs, "text", buckets=256, micro=50)
-    both = segment_plans.by_tfidf_text(hashed, "text", max_features=500, micro=50)
-    return segment_plans.agreement(both, ["hash_label", "tfidf_label", "lang"])
+    hashed = segment_plans.by_hashed_text(docs, "text")
+    both = segment_plans.by_tfidf_text(hashed, "text").select("hash_label", "tfidf_label", "lang")
+    texts = checkpointed(both)  # each pair of labels reads them again
+    placed = segment_plans.by_place(_place_table(spark, d))
+    placed = segment_plans.by_hashed_text(placed, "address", out="address_hash_label")
+    placed = segment_plans.by_tfidf_text(placed, "address", out="address_tfidf_label")
+    places = checkpointed(placed.select("place_label", "address_hash_label", "address_tfidf_label"))
+    return segment_plans.agreement(texts, texts.columns).unionByName(segment_plans.agreement(places, places.columns))
