@@ -41,14 +41,26 @@ BASE = [
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 ]
+# The header, headers of an encrypted key, and base64 lines up to the END line, or to the last base64 line without one.
+# Line breaks may be written as escapes. A line has 16 characters or more, but for the last one before the END line.
+_BREAK = r"(?:[\x20\t]*(?:\r?\n|\\r\\n|\\n))+[\x20\t]*"
+_STOP = r"""(?=[\x20\t]*(?:[\r\n"'`\\]|-----END |\Z))"""
+_KEY = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    rf"(?:{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\r\n\\]*)*"
+    rf"(?:{_BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}}{_STOP})*"
+    rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}={{0,2}}(?={_BREAK}(?:=[A-Za-z0-9+/]{{4}}{_BREAK})?-----END )|{_BREAK}[A-Za-z0-9+/]{{2,15}}={{1,2}}{_STOP})?"
+    rf"(?:{_BREAK}=[A-Za-z0-9+/]{{4}}{_STOP})?"
+    rf"(?:(?:{_BREAK})?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?"
+)
 # Publicly documented shapes of further secrets.
 MORE = [
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google_api", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url_login", r"://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
+    Rule("url_login", r"://[^\s:/@]+:[^\s:/@]{3,}@"),
 ]
 RULES = [*BASE, *MORE]
 MAX_EXACT = 64
