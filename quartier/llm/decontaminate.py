@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Test items and documents are compared as words in lower case, ASCII punctuation taken as blanks. The test set goes to
+Test items and documents are compared as words in lower case, ASCII punctuation taken as blanks; in scripts without
+blanks between words each character is a word. An item of fewer words than a seed is found by all its words in a run. The test set goes to
 all tasks in blocks of bounded size, one pass over the documents a block, whatever the number of items. In a task the
 documents' five-word seeds are joined with those of the items; a pair needs enough shared seeds to be able to reach
 the threshold. Each pair left is tiled: the longest common runs that overlap no earlier one are marked, longest first,
@@ -10,6 +11,7 @@ words under tiles is its coverage, so passages count in whatever order they stan
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +26,16 @@ COVERAGE = 0.8
 BLOCK_CHARS = 8_000_000  # of test items sent to the tasks at once
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _FILTER_BITS = 22
+# Thai to Lao, Myanmar, Khmer, kana, ideographs, halfwidth kana, further ideographs
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af])")
 
 
 def plain(texts: list) -> list[bytes]:
-    return [t.lower().encode().translate(_PLAIN) if t else b"" for t in texts]
+    return [_spaced(t.lower()).encode().translate(_PLAIN) if t else b"" for t in texts]
+
+
+def _spaced(text: str) -> str:
+    return text if text.isascii() else _UNSPACED.sub(r" \1 ", text)
 
 
 def _free(marked: np.ndarray, size: int) -> np.ndarray:
@@ -108,6 +116,13 @@ class Items:
         self.first = np.append(first, len(gram))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
+        self.short = {}  # by number of words below ``least``: sorted hashes of whole items, and the items
+        for n in range(1, least):
+            of = np.flatnonzero(self.size == n)
+            if len(of):
+                whole = gram_hashes(words, n)[block.first[of]]
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], of[order]
 
 
 class Tiler:
@@ -147,15 +162,31 @@ class Tiler:
             covered = sum(t[2] for t in tiles) / items.size[i]
             if covered >= self.coverage - 1e-9:
                 out.append((d, i, float(covered), sorted(tiles)))
+        for n, (whole, of) in items.short.items():
+            out += self._short(block, words, n, whole, of)
         return out
 
+    @staticmethod
+    def _short(block: Block, words: np.ndarray, n: int, whole: np.ndarray, of: np.ndarray) -> list:
+        """The first run in each text that is a whole item of ``n`` words."""
+        grams = gram_hashes(words, n)
+        doc = block.doc[: len(grams)]
+        low, high = np.searchsorted(whole, grams, "left"), np.searchsorted(whole, grams, "right")
+        at = np.flatnonzero((high > low) & (np.arange(len(grams)) + n <= block.first[1:][doc]))
+        _, first = np.unique(np.rec.fromarrays([doc[at], grams[at]], names="doc,gram"), return_index=True)
+        return [
+            (int(doc[p]), int(i), 1.0, [(int(p - block.first[doc[p]]), 0, n)])
+            for p in at[first].tolist()
+            for i in of[low[p] : high[p]]
+        ]
+
     def _least_seeds(self, i: int) -> float:
         words = self.items.words[i]
         return self.need[i] if len(np.unique(gram_hashes(words, self.least))) == len(words) - self.least + 1 else 1
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list]]:
-    """Ids and texts of the test items in blocks of about ``block_chars``; null and short items never match."""
+    """Ids and texts of the test items in blocks of about ``block_chars``; null and empty items never match."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.where(F.length("text") > 0)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -174,7 +205,7 @@ def contaminated(
 ) -> DataFrame:
     """A row for each document and test item it covers: doc_id, item_id, coverage, tiles (in words).
 
-    Clean documents have no row. Null and empty texts match nothing, nor do items of fewer than ``least`` words.
+    Clean documents have no row. Null and empty texts match nothing. Items of fewer than ``least`` words match as a whole.
     Repeated documents and items each give their rows; null ids are kept. With either table empty there are no rows.
     """
     spark = docs.sparkSession

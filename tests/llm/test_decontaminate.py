@@ -101,3 +101,13 @@ def test_query_finds_whole_passages(spark, sf_dir):
                 assert got[d, i] == 1
             elif (d, i) in got:
                 assert sum(tuple(v[k : k + 5]) in grams for k in range(len(v) - 4)) >= len(v) * 0.8 / 5
+
+
+def test_short_items_and_scripts_without_blanks(spark, make_docs):
+    docs = make_docs([
+        (1, "we saw The blue whale, the blue whale today"), (2, "the blue fish"), (3, "他说今天天气很好我们去公园散步吧然后回家"),
+        (4, "whale"), (5, "the blue"),
+    ])
+    items = spark.createDataFrame([(10, "the blue whale"), (11, "今天天气很好我们去公园散步"), (12, "Whale!"), (13, "the blue whale")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.n_tiles, r.tiles[0].doc_start) for r in contaminated(docs, items).collect()}
+    assert got == {(1, 10): (1.0, 1, 2), (1, 12): (1.0, 1, 4), (1, 13): (1.0, 1, 2), (3, 11): (1.0, 1, 2), (4, 12): (1.0, 1, 0)}
