@@ -70,3 +70,9 @@ def test_held_out_accuracy_on_a_larger_table(spark):
     print("auc", auc(y, s), "kept", (s[y == 1] >= 0.7).mean(), "rejected", (s[y == 0] < 0.7).mean())
     assert auc(y, s) > 0.9
     assert (s[y == 1] >= 0.7).mean() > 0.95 and (s[y == 0] < 0.7).mean() > 0.7
+
+
+def test_index_vectors_have_four_components():
+    at, sign = index_vectors()
+    assert at.shape == sign.shape == (1 << 15, 4)
+    assert all(len(set(row)) == 4 for row in at[:100].tolist())
