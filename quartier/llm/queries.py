@@ -149,3 +149,71 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quartier.llm.neighbours import search
 
     return search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLE["op11_merkle"] = r"""
+WITH RECURSIVE rows AS MATERIALIZED (
+    SELECT *, n_chars + (CASE WHEN hit THEN 1 ELSE 0 END) AS n_after FROM (
+        SELECT *, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+            string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+            lambda c, b: xor(xor(c, b) >> 1, 3988292384::BIGINT * (xor(c, b) & 1))), 4294967295::BIGINT) % 7 = 0, false) AS hit
+        FROM documents)
+), parts AS (
+    SELECT doc_id, lang, hit, n_after, n_chars,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail
+    FROM rows
+), leaves AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY lang) AS n
+    FROM (SELECT doc_id, lang, hit, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+                 sha256(head || coalesce(strlen(n_after::VARCHAR) || ':' || n_after, '-') || tail) AS altered
+          FROM parts)
+), nodes AS (
+    SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM leaves
+    UNION ALL
+    SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1
+    GROUP BY lang, lvl, n, pos // 2
+), subroots AS MATERIALIZED (SELECT lang, lvl AS height, h FROM nodes WHERE n = 1),
+tops AS (
+    SELECT 0 AS lvl, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, h FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1
+    GROUP BY lvl, n, pos // 2
+), places AS (SELECT lang, height, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM subroots),
+walk AS (
+    SELECT l.doc_id, l.lang, l.leaf, l.hit, 0 AS lvl, l.pos AS pos, p.height, p.place, p.subroot, '' AS proof,
+           CASE WHEN l.hit THEN l.altered ELSE l.leaf END AS node
+    FROM leaves l JOIN places p ON l.lang IS NOT DISTINCT FROM p.lang
+    UNION ALL
+    SELECT doc_id, w.lang, leaf, hit, w.lvl + 1, CASE WHEN w.lvl + 1 = height THEN place ELSE w.pos // 2 END, height, place,
+           subroot, proof || coalesce(s.h, ''),
+           sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || node ELSE node || coalesce(s.h, '') END)
+    FROM walk w LEFT JOIN nodes s ON w.lang IS NOT DISTINCT FROM s.lang AND s.lvl = w.lvl AND s.pos = xor(w.pos, 1)
+    WHERE w.lvl < height
+), crowns AS (
+    SELECT doc_id, leaf, subroot, 0 AS lvl, place AS pos, proof, node FROM walk WHERE lvl = height
+    UNION ALL
+    SELECT doc_id, leaf, subroot, w.lvl + 1, w.pos // 2, proof || coalesce(s.h, ''),
+           sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || node ELSE node || coalesce(s.h, '') END)
+    FROM crowns w LEFT JOIN tops s ON s.lvl = w.lvl AND s.pos = xor(w.pos, 1)
+    WHERE w.lvl < (SELECT max(lvl) FROM tops)
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM crowns WHERE lvl = (SELECT max(lvl) FROM tops)
+"""
+
+
+@query
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of each document, and the root of the version in which a seventh of them is altered."""
+    from pyspark.sql import functions as F
+
+    from quartier.llm.merkle import manifest
+
+    docs = read_table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = manifest(docs, hit, {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1})
+    digests = F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    return rows.select("doc_id", "leaf", "subroot", "root", *digests)
