@@ -217,3 +217,35 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest(docs, hit, {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1})
     digests = F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
     return rows.select("doc_id", "leaf", "subroot", "root", *digests)
+
+
+ORACLE["op13_hard_negatives"] = r"""
+WITH items AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scores AS MATERIALIZED (
+    SELECT a.r AS ar, a.vec_id AS anchor_id, b.r, b.vec_id, b.label = a.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+    FROM items a JOIN items b ON a.vec_id % 100 = 0 AND a.r <> b.r
+), positives AS (
+    SELECT ar, anchor_id, vec_id AS positive_id, r AS pr, score AS positive_score FROM scores WHERE same
+    QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, r) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, pr ORDER BY score DESC, vec_id, r)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON p.ar = s.ar AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.ar, pr ORDER BY score DESC, vec_id, r) <= 10
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score 30 to 90 percent of an anchor's positives; a seventh of the labels shifted."""
+    from pyspark.sql import functions as F
+
+    from quartier.llm.hard_negatives import mine
+
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return mine(read_table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
