@@ -249,3 +249,15 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.col("label").cast("long")
     shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
     return mine(read_table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens, with a checksum of their ids."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from quartier.llm.packing import pack
+
+    pieces = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
