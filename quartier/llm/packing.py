@@ -9,6 +9,7 @@ gaps of the others, by running sums over both, and what is left goes into sequen
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count, islice
@@ -24,7 +25,8 @@ from quartier.llm.ranks import ranked, stored
 from quartier.llm.text import blocks, id_text
 
 LIMIT, CLASSES = 4096, 256
-KNOWN_WORDS = 200_000  # words whose ids a task keeps
+KNOWN_WORDS = 400_000  # words whose ids a task keeps
+LOT_BYTES = 1 << 22  # of texts encoded together
 OUT_BYTES = 1 << 21
 CELL = 16  # sequences' worth of the poured stream that meet in one group
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"  # str.split() takes them for white space, the tokenizer doesn't
@@ -33,45 +35,78 @@ _TOKENS = "row long, doc_id long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def _gather(ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` from each start, end to end."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(size) else 0
+    return ids[np.repeat(start - ends + size, size) + np.arange(total)]
+
+
+class Table:
+    """Keys with a stretch of ids each, learned in the order of their first use."""
+
+    def __init__(self):
+        self.keys: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.start, self.size = (np.empty(0, np.int64) for _ in range(3))
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.keys.__getitem__, keys), np.int64, len(keys))
+
+    def fresh(self) -> list[str]:
+        return list(islice(self.keys, len(self.start), None))
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.size, self.ids = np.concatenate((self.size, sizes)), np.concatenate((self.ids, ids))
+
+    def read(self, places: np.ndarray) -> np.ndarray:
+        return _gather(self.ids, self.start[places], self.size[places])
+
+
 class WordEncoder:
-    """Token ids of texts by way of their distinct words: no token crosses white space."""
+    """Token ids of texts by way of their distinct words and the words' distinct pieces: no piece crosses white space."""
 
     def __init__(self, spec: dict):
         self.inner = Encoder(spec)
-        self.clear()
-
-    def clear(self) -> None:
-        self.table: dict[str, int] = defaultdict(count().__next__)
-        self.ids, self.start, self.size = (np.empty(0, np.int64) for _ in range(3))
+        self.words, self.pieces = Table(), Table()
+
+    def _spell(self, words: list[str], find) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, end to end, and how many each has. Pieces tile the words, so lengths tell them apart."""
+        text = " ".join(words)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma, as in ``Encoder``
+        text = text.lower()
+        found = find(text)
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        lengths = np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(words)))
+        at = self.pieces.places(found)
+        if fresh := self.pieces.fresh():
+            ids, offset = self.inner.index.encode([p.encode() for p in fresh])
+            self.pieces.learn(ids, np.diff(offset))
+        before = np.concatenate(([0], np.cumsum(self.pieces.size[at])))
+        return self.pieces.read(at), np.diff(before[np.searchsorted(ends, lengths, "right")], prepend=0)
 
     def _learn(self) -> None:
-        fresh = list(islice(self.table, len(self.start), None))
-        pieces = [self.inner.pretokens(w) for w in fresh]
-        ids, offset = self.inner.index.encode([p.encode() for ps in pieces for p in ps])
-        last = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        ends = offset[last]
-        starts = np.concatenate((offset[:1], ends[:-1]))
-        self.start = np.concatenate((self.start, starts + len(self.ids)))
-        self.size = np.concatenate((self.size, ends - starts))
-        self.ids = np.concatenate((self.ids, ids))
+        fresh = self.words.fresh()
+        basic = np.fromiter((w.isascii() or max(w) < "\U00010000" for w in fresh), bool, len(fresh))
+        ids, sizes, start = [], np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        for group, find in ((basic, self.inner.basic), (~basic, self.inner.full)):
+            mine = np.flatnonzero(group)
+            if len(mine):
+                spelled, sizes[mine] = self._spell([fresh[i] for i in mine.tolist()], find)
+                start[mine] = sum(map(len, ids)) + np.cumsum(sizes[mine]) - sizes[mine]
+                ids.append(spelled)
+        self.words.learn(_gather(np.concatenate(ids), start, sizes), sizes)
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        special, put = self.inner.special, self.table.__getitem__
+        special = self.inner.special
         plain = [bool(t) and not any(s in t for s in special) and not any(c in t for c in ODD_BLANKS) for t in texts]
-        owned = [np.fromiter(map(put, t.split()), np.int64) if p else None for t, p in zip(texts, plain)]
-        if len(self.table) > len(self.start):
+        owned = [self.words.places(t.split()) if p else None for t, p in zip(texts, plain)]
+        if len(self.words.keys) > len(self.words.start):
             self._learn()
-        out = []
-        for text, at in zip(texts, owned):
-            if at is None:
-                out.append(self.inner.encode([text])[0].astype(np.int64))
-                continue
-            sizes = self.size[at]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(at) else 0
-            out.append(self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(total)])
-        if len(self.table) > KNOWN_WORDS:
-            self.clear()
+        out = [self.inner.encode([t])[0].astype(np.int64) if at is None else self.words.read(at) for t, at in zip(texts, owned)]
+        if len(self.words.keys) > KNOWN_WORDS:
+            self.words, self.pieces = Table(), Table()
         return out
 
 
@@ -83,7 +118,7 @@ def tokenized(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(shipped.value)
         for batch in batches:
-            for a, b, texts in blocks(batch):
+            for a, b, texts in blocks(batch, limit=LOT_BYTES):
                 coded = [np.append(ids, end).astype(kind) for ids in encoder.encode(texts)]
                 yield pa.RecordBatch.from_arrays(
                     [
