@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from quartier.operators import metrics, models
+from quartier.operators import manylinear, metrics, models
 from quartier.operators.encode import oof_target_mean
 from quartier.operators.evaluate import cv_score, grid_search, oof_predict
 from quartier.operators.folds import with_fold
@@ -266,10 +266,9 @@ def kmeans_points(spark, d):
 
 @query(
     "huber_weights",
-    f"WITH {LISTINGS}, t AS (SELECT listing_id, area_total AS x, ln(1 + usd_price_syn) AS y FROM l),"
-    " b AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t)"
-    f" SELECT listing_id, {r('CASE WHEN abs(y - a - b * x) <= 0.1 THEN 1.0::DOUBLE ELSE 0.1 / abs(y - a - b * x) END')}"
-    " AS weight FROM t CROSS JOIN b",
+    f"WITH {LISTINGS}, t AS MATERIALIZED (SELECT listing_id, area_total AS x, ln(1 + usd_price_syn) AS y FROM l),"
+    " e AS (SELECT listing_id, abs(y - (SELECT regr_intercept(y, x) FROM t) - (SELECT regr_slope(y, x) FROM t) * x) AS e FROM t)"
+    f" SELECT listing_id, {r('CASE WHEN e <= 0.1 THEN 1.0::DOUBLE ELSE 0.1 / e END')} AS weight FROM e",
 )
 def huber_weights(spark, d):
     df = clean_listings(spark, d).select("listing_id", "area_total", F.log1p("usd_price_syn").alias("label"))
@@ -277,3 +276,42 @@ def huber_weights(spark, d):
     scored_once = models.ols().fit(points).transform(points)
     weight = models.huber_weight(F.col("label") - F.col("prediction"), 0.1)
     return rounded(scored_once.select("listing_id", weight.alias("weight")))
+
+
+_SCALED = f"""{LISTINGS}, t AS (SELECT {fold_sql('listing_id')} AS fold, (area_total - 100) / 50 AS x, ln(1 + usd_price_syn) AS y FROM l)"""
+_ALPHAS = [1e-4, 0.1, 1.0]
+
+
+@query(
+    "many_ridge_1d",
+    f"WITH {_SCALED}, g(config, alpha) AS (VALUES {', '.join(f'({i}, {a}::DOUBLE)' for i, a in enumerate(_ALPHAS))}),"
+    " k AS (SELECT f.fold, config, regr_sxy(y, x) / (regr_sxx(y, x) + any_value(alpha) * count(*)) AS b, avg(y) AS my, avg(x) AS mx"
+    " FROM (SELECT DISTINCT fold FROM t) f JOIN t ON t.fold <> f.fold CROSS JOIN g GROUP BY 1, 2),"
+    " s AS (SELECT config, fold, sqrt(avg(pow(y - my - b * (x - mx), 2))) AS rmse FROM t JOIN k USING (fold) GROUP BY 1, 2)"
+    f" SELECT config::INTEGER AS config, {r('avg(rmse)', 5)} AS rmse_mean, {r('stddev_pop(rmse)', 5)} AS rmse_std FROM s GROUP BY 1",
+)
+def many_ridge_1d(spark, d):
+    """All folds and penalties of a ridge in one job an iteration."""
+    df = clean_listings(spark, d).select("listing_id", ((F.col("area_total") - 100) / 50).alias("x"), F.log1p("usd_price_syn").alias("label"))
+    points = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features")])
+    settings = [manylinear.setting(alpha=a) for a in _ALPHAS]
+    scores, _, _ = manylinear.search_many(with_fold(df, "listing_id"), points, settings, tol=1e-8)
+    rows = [(i, mean, std) for i, (mean, std) in enumerate(scores)]
+    return rounded(spark.createDataFrame(rows, "config int, rmse_mean double, rmse_std double"), 5)
+
+
+@query(
+    "quantile_by_flag",
+    f"WITH {LISTINGS}, t AS (SELECT (condition IN ('1-URGENT', '2-HIGH'))::INTEGER AS flag, ln(1 + usd_price_syn) AS y FROM l"
+    " WHERE condition IS NOT NULL), q AS (SELECT flag, quantile_cont(y, 0.8) AS q FROM t GROUP BY 1)"
+    f" SELECT flag, count(*) AS n, {r('avg((y - q) * (0.8 - (y < q)::INTEGER))', 4)} AS loss FROM t JOIN q USING (flag) GROUP BY 1",
+)
+def quantile_by_flag(spark, d):
+    """Check loss of a quantile regression on one flag: that of the groups' own quantiles."""
+    df = clean_listings(spark, d).dropna(subset=["condition"])
+    df = df.select(F.col("condition").isin("1-URGENT", "2-HIGH").cast("int").alias("flag"), F.log1p("usd_price_syn").alias("label"))
+    points = VectorAssembler(inputCols=["flag"], outputCol="features").transform(df).persist()
+    left = F.col("label") - F.col("prediction")
+    scored = manylinear.QuantileRegression(quantile=0.8).fit(points).transform(points)
+    loss = F.avg(left * (F.lit(0.8) - (left < 0).cast("int"))).alias("loss")
+    return rounded(scored.groupBy("flag").agg(F.count("*").alias("n"), loss), 4)

@@ -92,11 +92,12 @@ def test_spearman_with_ties_on_both_paths(spark, monkeypatch, request):
         assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
-def test_lookup_splits_hot_keys(spark):
+def test_lookup_splits_hot_keys(spark, monkeypatch):
     rows = [(k, i) for i, k in enumerate(["hot"] * 500 + [str(j) for j in range(400)] + [None] * 30)]
     df = spark.createDataFrame(rows, "k string, i int")
     dim = spark.createDataFrame([("hot", 1.0)] + [(str(j), float(j)) for j in range(0, 400, 2)], "k string, v double")
     small = {r["i"]: r["v"] for r in L.lookup(df, dim, ["k"]).collect()}
-    split = {r["i"]: r["v"] for r in L.lookup(df, dim, ["k"], rows=1).collect()}
+    monkeypatch.setattr(L, "BROADCAST_ROWS", 1)
+    split = {r["i"]: r["v"] for r in L.lookup(df, dim, ["k"]).collect()}
     assert len(rows) == len(small) and small == split
     assert L.bounded(dim, 5) is None and L.bounded(dim, 500).count() == dim.count()
