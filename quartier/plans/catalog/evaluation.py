@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from quartier.operators import manylinear, metrics, models
+from quartier.operators import histboost, manylinear, metrics, models
 from quartier.operators.encode import oof_target_mean
 from quartier.operators.evaluate import cv_score, grid_search, oof_predict
 from quartier.operators.folds import with_fold
@@ -315,3 +315,21 @@ def quantile_by_flag(spark, d):
     scored = manylinear.QuantileRegression(quantile=0.8).fit(points).transform(points)
     loss = F.avg(left * (F.lit(0.8) - (left < 0).cast("int"))).alias("loss")
     return rounded(scored.groupBy("flag").agg(F.count("*").alias("n"), loss), 4)
+
+
+@query(
+    "boosted_l2_stump",
+    f"WITH {LISTINGS}, t AS MATERIALIZED (SELECT rooms AS x, ln(1 + usd_price_syn) AS y FROM l), m AS (SELECT avg(y) AS mu FROM t),"
+    " v AS (SELECT x, sum(y - (SELECT mu FROM m)) AS g, count(*) AS n FROM t GROUP BY 1),"
+    " c AS (SELECT x, sum(g) OVER w AS gl, sum(n) OVER w AS nl, sum(g) OVER () AS gt, sum(n) OVER () AS nt FROM v WINDOW w AS (ORDER BY x)),"
+    " b AS (SELECT arg_max(x, gl * gl / (nl + 300) + (gt - gl) * (gt - gl) / (nt - nl + 300)) AS cut FROM c WHERE nl < nt)"
+    f" SELECT x <= (SELECT cut FROM b) AS low, count(*) AS n, {r('(SELECT mu FROM m) + 0.5 * sum(y - (SELECT mu FROM m)) / (count(*) + 300)')}"
+    " AS prediction FROM t GROUP BY 1",
+)
+def boosted_l2_stump(spark, d):
+    """One round of one split with a leaf penalty: the cut of greatest gain, and shrunken means on both sides."""
+    df = clean_listings(spark, d).select("rooms", F.log1p("usd_price_syn").alias("label"))
+    stump = histboost.Model("stump", "label", ["rooms"], depth=1, rate=0.5, l2=300.0, rounds=1)
+    scored = histboost.boost(df, [stump], ["rooms"], [], [], keep=["rooms"]).scored
+    sides = scored.groupBy(F.round("prediction", 9).alias("p")).agg(F.count("*").alias("n"), F.avg("prediction").alias("prediction"), F.max("rooms").alias("most"))
+    return rounded(sides.select((F.col("most") == sides.select(F.min("most")).scalar()).alias("low"), "n", "prediction"))

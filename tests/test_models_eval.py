@@ -128,8 +128,8 @@ def test_spatial_variant_pipeline_keeps_rows(spark, sf_dir):
     model = evaluate.linear_pipeline("tree_num_kmeans", buckets=16, min_rows=5).fit(df)
     scored = model.transform(df)
     assert scored.count() == df.count() and scored.where("prediction is null or isnan(prediction)").count() == 0
-    importances = evaluate.boosted_importance(df, address="tfidf", cats="onehot_rich", buckets=16, maxIter=2)
-    assert importances.agg(F.sum("importance")).first()[0] == pytest.approx(1)
+    importances = evaluate.boosted_importance(df, address="tfidf", cats="onehot_rich", buckets=16, rounds=2)
+    assert importances.agg(F.sum("importance")).first()[0] == pytest.approx(100)
 
 
 def test_folds_that_are_not_all_scored_are_refused(spark, linear):
