@@ -103,66 +103,75 @@ class MultiIndex:
         return np.concatenate(found)
 
 
-def nearest(ids: np.ndarray, vectors: np.ndarray, index: MultiIndex, query_ids, queries, codes, radius: int, k: int):
-    """For each query the best k of the shard: (query id, vector id, product) arrays."""
+def nearest(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, index: MultiIndex, askers, queries, codes, radius: int, k: int):
+    """For each query the best k of the shard: (query's row, vector's id and row, product) arrays."""
     out = []
     for q in range(len(queries)):
         at = index.within(codes[q], radius)
-        at = at[ids[at] != query_ids[q]]
+        at = at[rows[at] != askers[q]]
         if len(at) < k:
-            at = np.flatnonzero(ids != query_ids[q])
+            at = np.flatnonzero(rows != askers[q])
         scores = vectors[at] @ queries[q] if len(at) < DENSE * len(ids) else (vectors @ queries[q])[at]
         if len(at) > 4 * k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             keep = scores >= least
             at, scores = at[keep], scores[keep]
-        best = np.lexsort((ids[at], -scores))[:k]
-        out.append((np.full(len(best), query_ids[q]), ids[at[best]], scores[best]))
-    return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        best = np.lexsort((rows[at], ids[at], -scores))[:k]
+        out.append((np.full(len(best), askers[q]), ids[at[best]], rows[at[best]], scores[best]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
 
 
 def search(table: DataFrame, queries: Column, k: int = 20, shard: int = SHARD, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for every row for which ``queries`` holds.
 
-    Nearest by inner product in double precision, ties to the smaller vec_id; the query's own id is no candidate.
-    Rows with a null id take no part, nor do vectors that are null, empty, zero or hold a null or non-finite component,
-    nor those of another length than most sampled ones. Rows that repeat an id are one, that of the smallest vector.
-    With fewer than ``k`` candidates all are returned. An empty table gives no rows; other columns are not read.
+    Nearest by inner product in double precision, ties to the smaller vec_id; the query's own row is no candidate.
+    Rows with a null id take no part, nor do vectors that are null, empty, zero or hold a null or non-finite component.
+    Vectors of each length are searched apart, as they have no product with others. Rows that repeat an id are rows of
+    their own, as queries and as candidates. With fewer than ``k`` candidates all are returned. An empty table gives no
+    rows; other columns are not read.
     """
-    spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    rows = rows.groupBy("vec_id").agg(F.min(F.struct("v", "asks")).alias("r")).select("vec_id", "r.*")
-    rows = checkpointed(rows)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
-    schema = "query_id long, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = [len(v) for v in sample]
-    width = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    rows = rows.where(F.size("v") == width)
-    n, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
+    rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+    found = None
+    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"))
+    for r in widths.where("asked > 0").orderBy("width").collect():  # a search for each length
+        mine = _search(rows.where(F.size("v") == r.width), r.width, r.n, r.asked, k, shard, block)
+        found = mine if found is None else found.unionByName(mine)
+    if found is None:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return found
+
+
+def _search(rows: DataFrame, width: int, n: int, asked: int, k: int, shard: int, block: int) -> DataFrame:
+    """``search`` over ``n`` vectors of one length."""
+    spark = rows.sparkSession
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).select("v").toArrow().column(0).to_pylist()
+    schema = "asker long, vec_id long, row long, score double"
     shards, blocks_ = max(1, -(-n // shard)), max(1, -(-asked // block))
-    shipped = spark.sparkContext.broadcast(Coder(np.array([v for v in sample if len(v) == width]), k))  # of fixed size
+    shipped = spark.sparkContext.broadcast(Coder(np.array(sample), k))  # of fixed size
 
     # every vector is in one shard and meets every block of queries there
     side = F.explode(F.sequence(F.lit(0), F.lit(blocks_ - 1)))
-    data = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), side.alias("block"), "vec_id", "v")
+    data = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), side.alias("block"), "vec_id", "row", "v")
     side = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asks = rows.where("asks").select(side.alias("shard"), F.pmod(F.hash("vec_id"), F.lit(blocks_)).alias("block"), F.col("vec_id").alias("query_id"), "v")
+    asks = rows.where("asks").select(side.alias("shard"), F.pmod(F.hash("row"), F.lit(blocks_)).alias("block"), F.col("row").alias("asker"), "v")
 
     def meet(left, right):
         coder = shipped.value
-        ids, vectors = left.column("vec_id").to_numpy(), _matrix(left.column("v"), width)
-        query_ids, queries = right.column("query_id").to_numpy(), _matrix(right.column("v"), width)
+        ids, places, vectors = left.column("vec_id").to_numpy(), left.column("row").to_numpy(), _matrix(left.column("v"), width)
+        askers, queries = right.column("asker").to_numpy(), _matrix(right.column("v"), width)
         index = MultiIndex(coder.codes(vectors)) if len(ids) else None
-        found = nearest(ids, vectors, index, query_ids, queries, coder.codes(queries), coder.radius, k) if len(ids) and len(query_ids) else [[], [], []]
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        some = len(ids) and len(askers)
+        found = nearest(ids, places, vectors, index, askers, queries, coder.codes(queries), coder.radius, k) if some else [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(found, kinds)], names=["asker", "vec_id", "row", "score"])
 
     near = asks.groupBy("shard", "block").cogroup(data.groupBy("shard", "block")).applyInArrow(lambda q, d: meet(d, q), schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    order = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "row")
+    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("row")
+    named = rows.where("asks").select(F.col("row").alias("asker"), F.col("vec_id").alias("query_id"))
+    return best.join(named, "asker").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:

@@ -35,12 +35,29 @@ def test_odd_vectors_and_few_candidates(spark):
     good = [(i, [math.cos(i), math.sin(i), 0.5]) for i in range(0, 9)] + [(20, [1.0, 0.0, 0.5]), (40, [1.0, 0.0, 0.5])]
     bad = [(60, None), (80, []), (100, [0.0, 0.0, 0.0]), (120, [1.0, None, 0.0]), (140, [float("nan"), 1.0, 1.0]), (160, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (180, [1.0, 2.0])]
     rows = spark.createDataFrame([(*r, 1, "x") for r in good + bad + good[:2]], ROWS).repartition(3)
+    usable = good + good[:2]  # repeated rows are rows of their own
+    want = []
+    for a, (q, mine) in enumerate(usable):
+        if q % 20 == 0:
+            own = np.array(mine, np.float32).astype(float)
+            scored = sorted((-float(np.dot(np.array(v, np.float32).astype(float), own)), i) for b, (i, v) in enumerate(usable) if b != a)
+            want += [(q, rank, i) for rank, (_, i) in enumerate(scored[:20], 1)]
+    got = search(rows, F.col("vec_id") % 20 == 0, k=20, shard=3, block=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(want)
+    assert search(rows.limit(0), F.lit(True)).count() == 0 and search(rows, F.lit(False)).count() == 0
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=3 if i % 3 else 7).tolist()) for i in range(60)]
+    rows = spark.createDataFrame([(*r, 1, "x") for r in vectors], ROWS).repartition(3)
     got = {}
-    for r in search(rows, F.col("vec_id") % 20 == 0, k=20, shard=3, block=2).orderBy("query_id", "rank").collect():
+    for r in search(rows, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
-    ids = np.array([i for i, _ in good])
-    assert got == exact(ids, np.array([v for _, v in good], np.float32).astype(float), [0, 20, 40], 20)
-    assert search(rows.limit(0), F.lit(True)).count() == 0 and search(rows, F.lit(False)).count() == 0
+    for q in (0, 20, 40):
+        same = [(i, np.array(v, np.float32).astype(float)) for i, v in vectors if len(v) == len(vectors[q][1])]
+        ids, table = np.array([i for i, _ in same]), np.array([v for _, v in same])
+        assert got[q] == exact(ids, table, [q], 5)[q]
 
 
 def test_query_recall(spark, sf_dir):
