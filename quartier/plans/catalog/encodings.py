@@ -94,3 +94,41 @@ def ordered_target_stat(spark, d):
     events = read_table(spark, d, "events").select("event_id", "event_type", "value")
     stat = encode.ordered_target_stat(events, "event_type", "value", "event_id", 7.3, "stat")
     return rounded(stat.select("event_id", "stat"), 9)
+
+
+_ORDERED = "e AS (SELECT event_id, event_type, value, {fold} AS fold, ('0x' || substr(md5('0:' || event_id), 1, 8))::BIGINT AS h FROM events)"
+_BEFORE = "OVER (PARTITION BY event_type ORDER BY h, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _fold_stat_sql(f: int) -> str:
+    """The statistic of the model that leaves fold ``f`` out: before the row if it trains, else over all that train."""
+    train = f"FILTER (WHERE fold <> {f})"
+    mean = f"(SELECT avg(value) FROM e WHERE fold <> {f})"
+    parts = [
+        f"(coalesce(sum(value) {train} {over}, 0) + 7.3::DOUBLE * {mean}) / (count(value) {train} {over} + 7.3::DOUBLE)"
+        for over in (_BEFORE, "OVER (PARTITION BY event_type)")
+    ]
+    return f"{r(f'CASE WHEN fold <> {f} THEN {parts[0]} ELSE {parts[1]} END', 8)} AS stat_{f}"
+
+
+@query(
+    "ordered_fold_stats",
+    f"WITH {_ORDERED.format(fold=fold_sql('event_id'))} SELECT event_id, fold, {', '.join(_fold_stat_sql(f) for f in range(5))} FROM e",
+)
+def ordered_fold_stats(spark, d):
+    events = with_fold(read_table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
+    stats = encode.ordered_fold_stats(events, "event_type", "value", "event_id", 7.3, "stat", "fold", 5)
+    return rounded(stats.drop("event_type", "value"), 8)
+
+
+@query(
+    "ordered_target_stage",
+    f"WITH {_ORDERED.format(fold=fold_sql('event_id'))} SELECT event_id, fold <> 0 AS training, "
+    f"{_fold_stat_sql(0)[: -len('stat_0')]}stat FROM e",
+)
+def ordered_target_stage(spark, d):
+    """The stage fitted on four folds: running means for them, means of their levels for the fifth."""
+    events = with_fold(read_table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
+    events = events.withColumn("training", F.col("fold") != 0)
+    stage = encode.OrderedTarget(col="event_type", y="value", key="event_id", prior_weight=7.3, out="stat")
+    return rounded(stage.fit(events).transform(events).select("event_id", "training", "stat"), 8)

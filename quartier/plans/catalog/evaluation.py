@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from quartier.operators import histboost, manylinear, metrics, models
+from quartier.operators import histboost, manylinear, metrics, models, permute
 from quartier.operators.encode import oof_target_mean
 from quartier.operators.evaluate import cv_score, grid_search, oof_predict
 from quartier.operators.folds import with_fold
@@ -333,3 +333,43 @@ def boosted_l2_stump(spark, d):
     scored = histboost.boost(df, [stump], ["rooms"], [], [], keep=["rooms"]).scored
     sides = scored.groupBy(F.round("prediction", 9).alias("p")).agg(F.count("*").alias("n"), F.avg("prediction").alias("prediction"), F.max("rooms").alias("most"))
     return rounded(sides.select((F.col("most") == sides.select(F.min("most")).scalar()).alias("low"), "n", "prediction"))
+
+
+def _place_sql(seed: int, name: str) -> str:
+    return f"row_number() OVER (ORDER BY ('0x' || substr(md5('{seed}:' || listing_id), 1, 8))::BIGINT, listing_id) AS {name}"
+
+
+@query(
+    "permuted_columns",
+    f"WITH {LISTINGS}, a AS (SELECT listing_id, {_place_sql(0, 'place')} FROM l),"
+    f" b AS (SELECT area_total AS area_total_perm, series AS series_perm, {_place_sql(1, 'place')} FROM l)"
+    " SELECT listing_id, area_total_perm, series_perm FROM a JOIN b USING (place)",
+)
+def permuted_columns(spark, d):
+    df = clean_listings(spark, d).select("listing_id", "area_total", "series")
+    return permute.permuted(df, "listing_id", ["area_total", "series"], slice_rows=1_000).drop("area_total", "series")
+
+
+_SHUFFLES = 3
+
+
+@query(
+    "permutation_importance",
+    f"WITH {LISTINGS}, t AS MATERIALIZED (SELECT listing_id, area_total AS x, ln(1 + usd_price_syn) AS y FROM l),"
+    " f AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, var_pop(y) * count(*) AS sst, regr_r2(y, x) AS r2, count(*) AS n FROM t),"
+    + ", ".join(
+        f" a{i} AS (SELECT x, y, {_place_sql(2 * i, 'place')} FROM t), b{i} AS (SELECT x AS z, {_place_sql(2 * i + 1, 'place')} FROM t),"
+        f" d{i} AS (SELECT sum(pow(y - a - b * z, 2) - pow(y - a - b * x, 2)) AS rise FROM a{i} JOIN b{i} USING (place) CROSS JOIN f)"
+        for i in range(_SHUFFLES)
+    )
+    + f", d AS ({' UNION ALL '.join(f'SELECT rise FROM d{i}' for i in range(_SHUFFLES))}),"
+    " s AS (SELECT avg(rise / sst) AS r2_drop, stddev_pop(rise / sst) AS r2_drop_std, avg(rise / n) AS mse_rise FROM d CROSS JOIN f)"
+    f" SELECT 'area_total' AS feature, n, {r('r2', 5)} AS r2, {r('r2_drop', 5)} AS r2_drop, {r('r2_drop_std', 5)} AS r2_drop_std,"
+    f" {r('mse_rise', 5)} AS mse_rise FROM s CROSS JOIN f"
+    f" UNION ALL SELECT 'constant', n, {r('r2', 5)}, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM f",
+)
+def permutation_importance(spark, d):
+    """A line on the area beside a constant column, whose score is exactly 0."""
+    df = clean_listings(spark, d).select("listing_id", "area_total", F.log1p("usd_price_syn").alias("label"), F.lit(1.0).alias("constant"))
+    line = Pipeline(stages=[VectorAssembler(inputCols=["area_total", "constant"], outputCol="features"), models.ols()]).fit(df)
+    return rounded(permute.permutation_importance(line, df, ["area_total", "constant"], "label", "listing_id", repeats=_SHUFFLES), 5)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quartier.operators import encode, geo
+from quartier.operators import encode, geo, splits
 from quartier.operators.filters import range_filter
 from quartier.operators.folds import with_fold
 from quartier.plans.catalog.registry import LISTINGS, UNITS, fold_sql, query, r, rounded, unit_listings
@@ -151,3 +151,61 @@ def zone_target_encode(spark, d):
     df = with_fold(zoned(spark, d), "listing_id")
     found = encode.oof_target_mean(df, ["leaf"], "unit", "fold", "zone_mean")
     return rounded(found.select("listing_id", "leaf", "fold", "zone_mean"), 4)
+
+
+_SPLIT_COLS = ["lat", "lon", "area_total", "build_year"]
+_CUTS = """v AS (SELECT {by}feature, x, count(*) AS n, sum(y) AS s FROM u WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER up AS nl, sum(s) OVER up AS sl, sum(n) OVER al AS nt, sum(s) OVER al AS st, lead(x) OVER up AS nx FROM v
+ WINDOW up AS (PARTITION BY {by}feature ORDER BY x), al AS (PARTITION BY {by}feature)),
+g AS (SELECT {by}feature, x, x + (nx - x) / 2 AS threshold, nl::BIGINT AS n_left, (nt - nl)::BIGINT AS n_right,
+ pow(sl / nl - (st - sl) / nullif(nt - nl, 0), 2) * nl * (nt - nl) / nt AS gain FROM w),
+c AS (SELECT *, row_number() OVER (PARTITION BY {by}feature ORDER BY gain DESC, x) AS k FROM g WHERE n_left >= 30 AND n_right >= 30)"""
+
+
+def _unpivoted(keys: str = "") -> str:
+    return "u AS (" + " UNION ALL ".join(
+        f"SELECT {keys}'{c}' AS feature, {c}::DOUBLE AS x, y FROM t" for c in _SPLIT_COLS
+    ) + ")"
+
+
+def _split_table(spark, d):
+    # Whole prices: their sums are exact, whatever the order.
+    return clean_listings(spark, d).select("listing_id", "series", *_SPLIT_COLS, F.floor("usd_price_syn").cast("double").alias("y"))
+
+
+_SPLIT_TABLE = f"{LISTINGS}, t AS (SELECT *, floor(usd_price_syn)::DOUBLE AS y FROM l)"
+
+
+@query(
+    "exact_splits",
+    f"WITH {_SPLIT_TABLE}, {_unpivoted()}, {_CUTS.format(by='')}"
+    f" SELECT feature, {r('threshold')} AS threshold, n_left, n_right, {r('gain', 0)} AS gain FROM c WHERE k = 1",
+)
+def exact_splits(spark, d):
+    return rounded(splits.exact_splits(_split_table(spark, d), _SPLIT_COLS, "y", 30), {"gain": 0})
+
+
+@query(
+    "exact_splits_by_group",
+    f"WITH {_SPLIT_TABLE}, {_unpivoted('series, ')}, {_CUTS.format(by='series, ')}"
+    f" SELECT series, feature, {r('threshold')} AS threshold, n_left, n_right, {r('gain', 0)} AS gain FROM c WHERE k = 1",
+)
+def exact_splits_by_group(spark, d):
+    """One search for all groups, by the plan for many values: balanced ranges with carried totals."""
+    found = splits.exact_splits(_split_table(spark, d), _SPLIT_COLS, "y", 30, ["series"], exact_rows=1_000)
+    return rounded(found, {"gain": 0})
+
+
+@query(
+    "exact_zones",
+    f"WITH {_SPLIT_TABLE}, u AS (SELECT 'lat' AS feature, lat AS x, y FROM t WHERE lon IS NOT NULL UNION ALL"
+    f" SELECT 'lon', lon, y FROM t WHERE lat IS NOT NULL), {_CUTS.format(by='')},"
+    " one AS (SELECT feature, threshold FROM c WHERE k = 1 ORDER BY gain DESC, feature LIMIT 1),"
+    " p AS (SELECT t.*, CASE WHEN CASE feature WHEN 'lat' THEN lat ELSE lon END <= threshold THEN 2 ELSE 3 END AS zone FROM t"
+    " CROSS JOIN one WHERE lat IS NOT NULL AND lon IS NOT NULL AND y IS NOT NULL)"
+    f" SELECT zone, count(*) AS n, {r('avg(y)', 4)} AS mean FROM p GROUP BY 1",
+)
+def exact_zones(spark, d):
+    """The first level of a tree on unbinned places."""
+    placed = splits.exact_zones(_split_table(spark, d), ["lat", "lon"], "y", 1, 30).dropna(subset=["zone"])
+    return rounded(placed.groupBy("zone").agg(F.count("*").alias("n"), F.avg("y").alias("mean")), 4)
