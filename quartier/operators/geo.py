@@ -6,8 +6,9 @@ from bisect import bisect_left
 from functools import reduce
 from operator import or_
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from quartier.operators.lookup import bounded
 from quartier.operators.quantiles import bucket_of, quantiles
 from quartier.operators.state import Configured, FitStep
+from quartier.session import checkpointed, ship_package
 
 MAX_CENTROIDS = 1_000
 MAX_ZONES = 10_000
+START_POSITIONS = 8_192
 
 
 def raster_grid(df: DataFrame, x: str, y: str, n: int, pad: float = 0.03) -> DataFrame:
@@ -150,6 +153,97 @@ class MissingSlot(Configured, Transformer):
         return df.withColumn(c["label"], F.when(lacks, F.lit(c["slot"])).otherwise(F.col(c["label"])))
 
 
+def kmeans_restarts(
+    df: DataFrame, cols: list[str], k: int, restarts: int, seed: int = 0, max_iter: int = 20, tol: float = 1e-4
+) -> tuple[list[list[float]], float]:
+    """(centres, cost) of the best of several Lloyd runs; an iteration is one job for all of them.
+
+    Rows are counted by position once. Each run starts from a weighted k-means++ draw over at most ``START_POSITIONS``
+    positions of smallest hash; the iterations see every row. Tasks add up counts, sums and costs by (run, cluster), and
+    only these sums move, whatever the number of rows. A run ends when no centre moves by more than ``tol``; a cluster
+    left without rows keeps its centre. Fewer positions than ``k`` give that many centres; none raises ``ValueError``.
+    """
+    values = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]
+    names = [f"_{i}" for i in range(len(cols))]
+    known = df.select(*values).dropna()
+    positions = checkpointed(known.groupBy(*names).agg(F.count("*").cast("double").alias("_w")))
+    start = positions.orderBy(F.xxhash64(*names), *names).limit(START_POSITIONS).collect()
+    if not start:
+        raise ValueError(f"no row has all of {cols}")
+    table = np.array([tuple(r) for r in start], np.float64)
+    k = min(k, len(table))
+    centres = np.stack([_spread_start(table[:, :-1], table[:, -1], k, np.random.default_rng([seed, i])) for i in range(restarts)])
+    moving, cost = np.ones(restarts, bool), np.full(restarts, np.inf)
+    for step in range(max_iter + 1):
+        todo = np.flatnonzero(moving)
+        if not len(todo):
+            break
+        counts, sums, spent = _lloyd_sums(positions, names, centres[todo])
+        cost[todo] = spent
+        if step == max_iter:
+            break
+        moved = np.where(counts[..., None] > 0, sums / np.maximum(counts, 1)[..., None], centres[todo])
+        far = ((moved - centres[todo]) ** 2).sum(axis=2).max(axis=1)
+        # The cost belongs to the centres it was measured with.
+        going = far > tol * tol
+        centres[todo[going]] = moved[going]
+        moving[todo[~going]] = False
+    best = int(cost.argmin())
+    return centres[best].tolist(), float(cost[best])
+
+
+def _spread_start(points: np.ndarray, weights: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """k-means++: each centre is drawn by its weighted squared distance to those before."""
+    chosen = [int(draw.choice(len(points), p=weights / weights.sum()))]
+    apart = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        share = weights * apart
+        if not share.sum() > 0:  # what is left is too near to tell apart
+            share = np.where(np.isin(np.arange(len(points)), chosen), 0.0, weights)
+        chosen.append(int(draw.choice(len(points), p=share / share.sum())))
+        apart = np.minimum(apart, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen].copy()
+
+
+def _lloyd_sums(positions: DataFrame, names: list[str], centres: np.ndarray):
+    """Rows, sums of coordinates and squared distance by (run, cluster), added up by Spark."""
+    runs, k, width = centres.shape
+    shape = (runs, k, width + 2)
+
+    def run(batches):
+        total = np.zeros(shape)
+        for batch in batches:
+            block = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (*names, "_w")])
+            for a in range(0, len(block), 8192):
+                x, w = block[a : a + 8192, :-1], block[a : a + 8192, -1]
+                for i in range(runs):
+                    apart = sum((x[:, d, None] - centres[i, :, d]) ** 2 for d in range(width))
+                    near = apart.argmin(axis=1)
+                    parts = [w, *(w * x[:, d] for d in range(width)), w * apart.min(axis=1)]
+                    total[i] += np.stack([np.bincount(near, part, k) for part in parts], axis=1)
+        flat = total.ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["slot", "value"])
+
+    ship_package(positions.sparkSession)
+    added = positions.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value"))
+    found = np.zeros(runs * k * (width + 2))
+    for r in added.collect():  # one row a slot
+        found[r["slot"]] = r["value"]
+    found = found.reshape(shape)
+    return found[..., 0], found[..., 1:-1], found[..., -1].sum(axis=1)
+
+
+class NearestCentre(Configured, Transformer):
+    """Number of the nearest of fixed centres, NULL without a place: ``NearestCentre(cols=, centres=, out=)``."""
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        c = self.conf
+        fields = ", ".join(f"`{name}` double" for name in c["cols"])
+        rows = [(i, *centre) for i, centre in enumerate(c["centres"])]
+        centres = df.sparkSession.createDataFrame(rows, f"cluster int, {fields}")
+        return assign_nearest(df, centres, c["cols"], c["out"])
+
+
 class GeoKMeans(FitStep):
     """Best of several KMeans restarts on coordinates, as a one-hot vector column ``out``.
 
@@ -163,19 +257,10 @@ class GeoKMeans(FitStep):
     def _fit(self, df: DataFrame) -> PipelineModel:
         c = self.conf
         out = c["out"]
-        assemble = VectorAssembler(inputCols=c["cols"], outputCol=f"{out}_xy", handleInvalid="keep")
-        points = assemble.transform(df.dropna(subset=c["cols"])).select(f"{out}_xy").persist()
-        try:
-            fits = [
-                KMeans(
-                    featuresCol=f"{out}_xy", predictionCol=f"{out}_cluster", k=c["k"], seed=c["seed"] + i
-                ).fit(points)
-                for i in range(c["restarts"])
-            ]
-        finally:
-            points.unpersist()
-        best = min(fits, key=lambda m: m.summary.trainingCost)
+        places = df.select(*[F.when(~F.isnan(F.col(x).cast("double")), F.col(x)).alias(x) for x in c["cols"]])
+        centres, _ = kmeans_restarts(places, c["cols"], c["k"], c["restarts"], c["seed"])
+        nearest = NearestCentre(cols=c["cols"], centres=centres, out=f"{out}_cluster")
         hot = OneHotEncoder(inputCols=[f"{out}_cluster"], outputCols=[out], dropLast=False, handleInvalid="keep")
         known = df.sparkSession.createDataFrame([(i,) for i in range(c["k"])], f"{out}_cluster int")
         missing = MissingSlot(cols=c["cols"], label=f"{out}_cluster", slot=c["k"])
-        return PipelineModel(stages=[assemble, best, missing, hot.fit(known)])
+        return PipelineModel(stages=[nearest, missing, hot.fit(known)])

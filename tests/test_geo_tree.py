@@ -2,6 +2,7 @@ import heapq
 
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from quartier.operators import geo
@@ -128,3 +129,30 @@ def test_far_coordinates_lie_in_a_zone(spark):
     model = GeoZones(x="lat", y="lon", target="v", max_leaves=5).fit(df)
     far = spark.createDataFrame([(2e9, -3e12), (-2e9, 5e9)], "lat double, lon double")
     assert model.assign(far).where("geo_zone_leaf is null").count() == 0
+
+
+def test_restarts_together_equal_plain_lloyd(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(c, 0.4, (60, 2)) for c in [(0, 0), (4, 0), (0, 4), (9, 9)]]).round(2)
+    rows = [tuple(map(float, p)) for p in points] + [(None, 1.0), (2.0, None)]
+    df = spark.createDataFrame([*rows, *rows[:30]], "x double, y double").repartition(5)
+    centres, cost = geo.kmeans_restarts(df, ["x", "y"], 4, 6, seed=2)
+    full, centres = np.concatenate([points, points[:30]]), np.array(centres)
+    for _ in range(5):
+        near = ((full[:, None] - centres) ** 2).sum(2).argmin(1)
+        again = np.array([full[near == c].mean(0) for c in range(4)])
+        assert again == pytest.approx(centres, abs=1e-4)  # no centre moves any more
+    assert cost == pytest.approx(((full - centres[near]) ** 2).sum(), rel=1e-6)
+    assert sorted(np.bincount(near)) == [60, 60, 60, 90]
+    (alone,), _ = geo.kmeans_restarts(df, ["x", "y"], 1, 2)
+    assert alone == pytest.approx(full.mean(0).tolist())
+
+
+def test_fewer_positions_than_clusters(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 2.0, "a"), (1.0, 2.0, "b"), (5.0, 2.0, "c"), (None, 2.0, "d"), (float("nan"), 1.0, "e")], "x double, y double, _0 string")
+    model = geo.GeoKMeans(cols=["x", "y"], k=4, restarts=2, out="k").fit(df)
+    model.write().save(str(tmp_path / "m"))
+    got = {r["_0"]: (r["k_cluster"], r["k"].size) for r in PipelineModel.load(str(tmp_path / "m")).transform(df).collect()}
+    assert got["a"] == got["b"] != got["c"] and got["d"] == got["e"] == (4, 5)
+    with pytest.raises(ValueError):
+        geo.kmeans_restarts(df.limit(0), ["x", "y"], 4, 2)
