@@ -20,6 +20,7 @@ from quartier.session import checkpointed, ship_package
 
 MAX_CENTROIDS = 1_000
 MAX_ZONES = 10_000
+MAX_CELLS = 1 << 18
 START_POSITIONS = 8_192
 
 
@@ -68,7 +69,10 @@ def assign_zone(
     """Add ``carry`` of the zone (half-open boxes ``(lo, hi]``) each point lies in, else NULL.
 
     The zone edges cut the plane into cells. Each point finds its cell by binary search and
-    the cell's zone by an equi-join, so no row is compared with every zone.
+    the cell's zone by an equi-join, so no row is compared with every zone. Where that would make
+    more than ``MAX_CELLS`` cells, zones are cut along ``x`` only, into few strips of power-of-two
+    length: a point looks its strip of each length up and searches the zones there by ``y``. Zones
+    don't overlap.
     """
     a, b = names
     edges = [f"{a}_lo", f"{a}_hi", f"{b}_lo", f"{b}_hi"]
@@ -78,6 +82,17 @@ def assign_zone(
     boxes = local.collect()
     xs = sorted({v for r in boxes for v in (r[edges[0]], r[edges[1]])})
     ys = sorted({v for r in boxes for v in (r[edges[2]], r[edges[3]])})
+    fields = ", ".join(f"`{c}` {local.schema[c].dataType.simpleString()}" for c in carry)
+
+    def index(col: str, cuts: list[float]):
+        size = 1 << max(len(cuts), 1).bit_length()
+        array = F.array(*[F.lit(float(v)) for v in cuts])
+        return F.when(F.col(col).isNotNull(), bucket_of(F.col(col), array, size))
+
+    spans = [(bisect_left(xs, r[edges[0]]) + 1, bisect_left(xs, r[edges[1]])) for r in boxes]
+    heights = [bisect_left(ys, r[edges[3]]) - bisect_left(ys, r[edges[2]]) for r in boxes]
+    if sum((b - a + 1) * h for (a, b), h in zip(spans, heights)) > MAX_CELLS:
+        return _by_strips(df.withColumn("_i", index(x, xs)), boxes, spans, edges[2:], y, carry, fields).drop("_i")
     cells = [
         (i, j, *[r[c] for c in carry])
         for r in boxes
@@ -85,19 +100,47 @@ def assign_zone(
         for j in range(bisect_left(ys, r[edges[2]]) + 1, bisect_left(ys, r[edges[3]]) + 1)
     ]
     spark = df.sparkSession
-    fields = ", ".join(f"`{c}` {local.schema[c].dataType.simpleString()}" for c in carry)
     table = spark.createDataFrame(cells, f"_i int, _j int, {fields}")
-
-    def index(col: str, cuts: list[float]):
-        size = 1 << max(len(cuts), 1).bit_length()
-        array = F.array(*[F.lit(float(v)) for v in cuts])
-        return F.when(F.col(col).isNotNull(), bucket_of(F.col(col), array, size))
-
     placed = df.withColumns({"_i": index(x, xs), "_j": index(y, ys)})
-    # The cell count is the product of edge counts of a checked number of zones.
+    # At most MAX_CELLS cells.
     return placed.join(F.broadcast(table), ["_i", "_j"], "left").drop("_i", "_j")
 
 
+def _by_strips(df: DataFrame, boxes: list, spans: list, edges: list[str], y: str, carry: list[str], fields: str) -> DataFrame:
+    """Zones by strips of 2^level x-cells: a zone lies in at most two strips of a length, a cell in one."""
+    strips: dict[tuple[int, int], list] = {}
+    for box, (a, b) in zip(boxes, spans):
+        level = 0
+        while a <= b:
+            if a & 1:
+                strips.setdefault((level, a), []).append(box)
+                a += 1
+            if not b & 1:
+                strips.setdefault((level, b), []).append(box)
+                b -= 1
+            a, b, level = a >> 1, b >> 1, level + 1
+    low, high = edges
+    found = []
+    for level in sorted({level for level, _ in strips}):
+        rows = []
+        for (at, strip), zones in strips.items():
+            if at == level:
+                zones = sorted(zones, key=lambda z: z[high])
+                rows.append((strip, [z[low] for z in zones], [z[high] for z in zones], [tuple(z[c] for c in carry) for z in zones]))
+        size = 1 << max(len(r[1]) for r in rows).bit_length()
+        schema = f"_strip int, _low array<double>, _high array<double>, _zones array<struct<{fields.replace('` ', '`: ')}>>"
+        table = df.sparkSession.createDataFrame(rows, schema)
+        key = F.shiftright("_i", level)
+        # At most two rows a zone and level.
+        df = df.join(F.broadcast(table), key == F.col("_strip"), "left")
+        place = bucket_of(F.col(y), F.col("_high"), size)
+        inside = F.col(y).isNotNull() & (F.get("_low", place) < F.col(y))
+        df = df.withColumn(f"_zone{level}", F.when(inside, F.get("_zones", place))).drop("_strip", "_low", "_high", "_zones")
+        found.append(f"_zone{level}")
+    zone = F.coalesce(*found)
+    return df.withColumns({c: zone[c] for c in carry}).drop(*found)
+
+
 def zone_summary(df: DataFrame, zone: str, value: str, x: str, y: str, **kw) -> DataFrame:
     """Rows, median, mean, sample std and centroid per zone."""
     stats = quantiles(

@@ -156,3 +156,30 @@ def test_fewer_positions_than_clusters(spark, tmp_path):
     assert got["a"] == got["b"] != got["c"] and got["d"] == got["e"] == (4, 5)
     with pytest.raises(ValueError):
         geo.kmeans_restarts(df.limit(0), ["x", "y"], 4, 2)
+
+
+def test_strips_equal_cells(spark, monkeypatch):
+    """Random nested cuts of the plane, with points on the edges, off the zones and without a place."""
+    rng = np.random.default_rng(8)
+    boxes = [(-1e9, 1e9, -1e9, 1e9)]
+    while len(boxes) < 60:
+        box = list(boxes.pop(int(rng.integers(len(boxes)))))
+        axis = int(rng.integers(2))
+        lo, hi = (max(box[2 * axis], 0), min(box[2 * axis + 1], 100))
+        at = float(np.round(rng.uniform(lo, hi), 1))
+        low, high = list(box), list(box)
+        low[2 * axis + 1] = high[2 * axis] = at
+        boxes += [tuple(b) for b in (low, high) if b[0] < b[1] and b[2] < b[3]] if box[2 * axis] < at < box[2 * axis + 1] else [tuple(box)]
+    boxes.pop()  # a gap
+    zones = spark.createDataFrame([(i, *b, None if i % 5 == 0 else f"z{i}") for i, b in enumerate(boxes)], "leaf int, lat_lo double, lat_hi double, lon_lo double, lon_hi double, name string")
+    edges = [v for b in boxes for v in b if abs(v) < 1e8]
+    points = [(float(a), float(b)) for a, b in rng.choice(edges, (200, 2))] + [(float(a), float(b)) for a, b in rng.uniform(-5, 105, (400, 2))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate([*points, (None, 1.0), (1.0, None), (2e9, 2e9)])], "id int, a double, b double")
+    cells = geo.assign_zone(df, zones, "a", "b", ["leaf", "name"])
+    monkeypatch.setattr(geo, "MAX_CELLS", 0)
+    strips = geo.assign_zone(df, zones, "a", "b", ["leaf", "name"])
+    assert strips.columns == cells.columns == ["id", "a", "b", "leaf", "name"]
+    got = {r["id"]: (r["leaf"], r["name"]) for r in strips.collect()}
+    assert got == {r["id"]: (r["leaf"], r["name"]) for r in cells.collect()} and len(got) == 603
+    want = {i: [z for z, (a0, a1, b0, b1) in enumerate(boxes) if a0 < a <= a1 and b0 < b <= b1] for i, (a, b) in enumerate(points)}
+    assert {i: z[0] if z else None for i, z in want.items()} == {i: got[i][0] for i in want}
