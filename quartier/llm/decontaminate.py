@@ -6,11 +6,13 @@ all tasks in blocks of bounded size, one pass over the documents a block, whatev
 documents' five-word seeds are joined with those of the items; a pair needs enough shared seeds to be able to reach
 the threshold. Each pair left is tiled: the longest common runs that overlap no earlier one are marked, longest first,
 found by running Karp-Rabin hashes over what is unmarked, until no run of five words is left. The share of an item's
-words under tiles is its coverage, so passages count in whatever order they stand.
+words under tiles is its coverage, so passages count in whatever order they stand. A text of very many words is tiled
+whole; a word or phrase that it repeats at will costs one entry a place, not one a pair of places.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartier.llm.text import Block, blocks, gram_hashes, id_text
+from quartier.llm.text import Block, blocks, gram_hashes, id_text, powers
 
 LEAST = 5
 COVERAGE = 0.8
 BLOCK_CHARS = 8_000_000  # of test items sent to the tasks at once
 _PLAIN = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _FILTER_BITS = 22
+_BASE = 0xD1342543DE82EF95  # any odd number; 5 modulo 8 for a long period
+_BASE_INVERSE = pow(_BASE, -1, 2**64)
 # Thai to Lao, Myanmar, Khmer, kana, ideographs, halfwidth kana, further ideographs
 _UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af])")
 
@@ -44,60 +48,122 @@ def _free(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] == total[:-size])
 
 
+class Rolling:
+    """Karp-Rabin sums of a sequence of word hashes: the hash of any run from two of them."""
+
+    def __init__(self, words: np.ndarray):
+        self.total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(_BASE, len(words)), out=self.total[1:])
+        self.back = powers(_BASE_INVERSE, len(words) + 1)
+
+    def at(self, start: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+        return (self.total[start + size] - self.total[start]) * self.back[start]
+
+
+def _room(marked: np.ndarray) -> np.ndarray:
+    """Words from each position on up to a mark or the end."""
+    here = np.arange(len(marked))
+    return np.minimum.accumulate(np.where(marked, here, len(marked))[::-1])[::-1] - here
+
+
 def tile(text: np.ndarray, item: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(text start, item start, length) of greedy tiles between two sequences of word hashes."""
+    """(text start, item start, length) of greedy tiles between two sequences of word hashes.
+
+    Always the longest common run without a mark comes next, of equally long ones that which starts first in the item,
+    then in the text. Runs are looked for from long to short, so that few are held at once.
+    """
     in_text, in_item = np.zeros(len(text), bool), np.zeros(len(item), bool)
+    sums = Rolling(text), Rolling(item)
     tiles: list[tuple[int, int, int]] = []
     size = max(least, min(len(item), len(text)) // 2)
     while min(len(item), len(text)) >= size:
-        a, b, length = _matches(text, item, in_text, in_item, size)
+        a, b, length = _runs(text, item, sums, in_text, in_item, size)
         longest = int(length.max(initial=0))
-        if longest > 2 * size:  # a long run: look again with a longer hash, so that few short ones are extended
+        if longest > 2 * size:  # a long run: look again with a longer hash, so that few short ones are held
             size = longest
             continue
-        if not longest:
-            if size == least:
-                break
-            size = max(least, size // 2)
-            continue
-        for k in np.lexsort((a, b, -length)).tolist():
-            i, j, n = int(a[k]), int(b[k]), int(length[k])
-            if not in_text[i : i + n].any() and not in_item[j : j + n].any():
-                in_text[i : i + n] = in_item[j : j + n] = True
-                tiles.append((i, j, n))
+        tiles += _mark(a, b, length, size, in_text, in_item)
+        if size == least:
+            break
+        size = max(least, size // 2)
     return tiles
 
 
-def _matches(text, item, in_text, in_item, size):
-    """Maximal common runs of unmarked words of at least ``size``: text starts, item starts, lengths."""
+def _runs(text, item, sums, in_text, in_item, size):
+    """Maximal common runs of unmarked words of at least ``size``: text starts, item starts, lengths.
+
+    Only starts of runs are paired: places of one hash are sorted by the word before them, and a place of the item
+    skips those with its own word before them. So a word repeated at will gives no pair inside a longer run.
+    """
     none = np.empty(0, np.int64)
     at, of = _free(in_text, size), _free(in_item, size)
     if not len(at) or not len(of):
         return none, none, none
-    th, ih = gram_hashes(text, size)[at], gram_hashes(item, size)[of]
-    order = np.argsort(th, kind="stable")
-    low, high = np.searchsorted(th[order], ih, "left"), np.searchsorted(th[order], ih, "right")
-    n = high - low
-    b = np.repeat(of, n)
-    a = at[order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]]
+    grams, gram = np.unique(sums[1].at(of, size), return_inverse=True)
+    hashes = sums[0].at(at, size)
+    found = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+    hit = grams[found] == hashes
+    at, found = at[hit], found[hit]
+    words, before = np.unique(item[np.maximum(of - 1, 0)], return_inverse=True)
+    before = np.where((of > 0) & ~in_item[np.maximum(of - 1, 0)], before + 1, 0)  # 0: no word before, skips nothing
+    p = np.maximum(at - 1, 0)
+    own = np.minimum(np.searchsorted(words, text[p]), len(words) - 1)
+    own = np.where((at > 0) & ~in_text[p] & (words[own] == text[p]), own + 1, 0)
+    wide = len(words) + 1
+    key = found * wide + own
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    low, high = np.searchsorted(key, gram * wide), np.searchsorted(key, (gram + 1) * wide)
+    skip = np.where(before > 0, np.searchsorted(key, gram * wide + before), high)
+    after = np.where(before > 0, np.searchsorted(key, gram * wide + before, "right"), high)
+    low, n = np.concatenate([low, after]), np.concatenate([skip - low, high - after])
+    b = np.repeat(np.concatenate([of, of]), n)
+    a = at[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
     if not len(a):
         return none, none, none
-    before = (a > 0) & (b > 0)
-    p, q = np.maximum(a - 1, 0), np.maximum(b - 1, 0)
-    starts = ~(before & (text[p] == item[q]) & ~in_text[p] & ~in_item[q])  # others lie inside a longer run
-    a, b = a[starts], b[starts]
+    most = np.minimum(_room(in_text)[a], _room(in_item)[b])
     length = np.full(len(a), size)
-    grows = np.arange(len(a))
-    while len(grows):
+    step = 1 << max(0, int(most.max()) - size).bit_length()
+    while step := step >> 1:  # lengths grow by halving steps as long as the hashes agree
+        grows = np.flatnonzero(length + step <= most)
         i, j = a[grows] + length[grows], b[grows] + length[grows]
-        inside = (i < len(text)) & (j < len(item))
-        grows, i, j = grows[inside], i[inside], j[inside]
-        same = (text[i] == item[j]) & ~in_text[i] & ~in_item[j]
-        grows = grows[same]
-        length[grows] += 1
+        length[grows[sums[0].at(i, step) == sums[1].at(j, step)]] += step
     return a, b, length
 
 
+def _mark(a, b, length, size, in_text, in_item) -> list[tuple[int, int, int]]:
+    """Mark runs, longest first; what is left of a run that was covered in part goes back into the queue."""
+    tiles: list[tuple[int, int, int]] = []
+    found, left = _longest_first(a, b, length), []
+    run = next(found, None)
+    while run or left:
+        if left and (run is None or left[0] < run):
+            n, j, i = heapq.heappop(left)
+        else:
+            (n, j, i), run = run, next(found, None)
+        n = -n
+        taken = in_text[i : i + n] | in_item[j : j + n]
+        if not taken.any():
+            in_text[i : i + n] = in_item[j : j + n] = True
+            tiles.append((i, j, n))
+            if not len(_free(in_item, size)):
+                break
+            continue
+        room = _room(taken)
+        starts = np.flatnonzero((room >= size) & np.concatenate(([True], taken[:-1])))
+        for k in starts.tolist():
+            heapq.heappush(left, (-int(room[k]), j + k, i + k))
+    return tiles
+
+
+def _longest_first(a, b, length) -> Iterator[tuple[int, int, int]]:
+    """(-length, item start, text start) in order."""
+    order = np.lexsort((a, b, -length))
+    for k in range(0, len(order), 4096):
+        at = order[k : k + 4096]
+        yield from zip((-length[at]).tolist(), b[at].tolist(), a[at].tolist())
+
+
 class Items:
     """A block of test items: word hashes, and an index from seed to the items that hold it."""
 

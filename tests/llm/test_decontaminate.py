@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 from conftest_llm import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,24 +35,34 @@ def hashed(words):
     return mix(np.array([hash(w) & (2**63 - 1) for w in words], np.uint64))
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abc"), max_size=24), st.integers(2, 4))
 def test_tiles_equal_definition(text, item, least):
-    got, want = tile(hashed(text), hashed(item), least), plain_tiles(text, item, least)
-    assert sorted(t[2] for t in got)[-1:] == sorted(t[2] for t in want)[-1:]
-    for i, j, n in got:
-        assert text[i : i + n] == item[j : j + n] and n >= least
-    for k in (0, 1):
-        cells = [c for t in got for c in range(t[k], t[k] + t[2])]
-        assert len(cells) == len(set(cells))
-    marked = [set(range(t[0], t[0] + t[2])) for t in got], [set(range(t[1], t[1] + t[2])) for t in got]
-    used_t, used_i = set().union(*marked[0]), set().union(*marked[1])
-    for i in range(len(text)):  # nothing of the least length is left
-        for j in range(len(item)):
-            free = all(i + k not in used_t and j + k not in used_i for k in range(least))
-            assert not (free and text[i : i + least] == item[j : j + least] and i + least <= len(text) and j + least <= len(item))
-    if len(got) <= 1:
-        assert sum(t[2] for t in got) == sum(t[2] for t in want)
+    assert tile(hashed(text), hashed(item), least) == plain_tiles(text, item, least)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcde"])
+def test_tiles_of_copied_passages_equal_definition(letters):
+    rng = random.Random(7)
+    for _ in range(150):
+        item = [rng.choice(letters) for _ in range(rng.randrange(5, 60))]
+        text = [rng.choice(letters) for _ in range(rng.randrange(0, 20))]
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(item))
+            text += item[k : k + rng.randrange(3, 40)] + [rng.choice(letters)] * rng.randrange(0, 3)
+        assert tile(hashed(text), hashed(item), 5) == plain_tiles(text, item, 5)
+
+
+@pytest.mark.parametrize("phrase", [["so"], ["so", "on"], ["and", "so", "on"]])
+def test_a_million_repeated_words_need_little_memory(phrase):
+    text, item = np.tile(hashed(phrase), 1_000_000 // len(phrase)), np.tile(hashed(phrase), 402 // len(phrase))
+    other = np.concatenate([item[:150], hashed(["x"]), item[:100], hashed(["y"]), item[:7]])
+    tracemalloc.start()
+    tiles, more = tile(text, item), tile(text, other)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles == [(0, 0, len(item))] and sum(t[2] for t in more) == len(other) - 2
+    assert peak < 400_000_000
 
 
 def brute(docs, items):
