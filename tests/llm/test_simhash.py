@@ -83,6 +83,38 @@ def test_trees_lose_no_link(crowd):
     assert [got.root(i) for i in range(len(prints))] == [want.root(i) for i in range(len(prints))]
 
 
+def shared_half(n, seed=3):
+    """Distinct fingerprints with the same lower half; every second one is a neighbour of the one before."""
+    rng = np.random.default_rng(seed)
+    upper = rng.integers(0, 2**32, n // 2, dtype=np.uint64)
+    near = upper ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 32, (n // 2, 3)).astype(np.uint64), axis=1)
+    return np.unique(np.concatenate([upper, near]) << np.uint64(32) | np.uint64(77))
+
+
+def test_fingerprints_that_share_a_half_are_spread(monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 1_000)
+    prints = shared_half(50_000)
+    rng = np.random.default_rng(4)
+    trees = simhash._trees(rng.permutation(prints)[: simhash.SAMPLE], len(prints))
+    shards = [at for _, at in place(trees[0], half(prints, 0), 1, prints)]
+    assert len(shards) > 8 and max(map(len, shards)) < 0.25 * len(prints)
+    together = np.concatenate([prints[at] for at in shards])
+    assert set(together.tolist()) == set(prints.tolist())
+
+
+def test_links_of_a_shared_half_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 40)
+    prints = shared_half(3_000)
+    want = Union(len(prints))
+    for i, j in np.argwhere(np.triu(np.bitwise_count(prints[:, None] ^ prints) <= 3, 1)).tolist():
+        want.join(i, j)
+    got, place_of = Union(len(prints)), {int(p): i for i, p in enumerate(prints.view(np.int64))}
+    table = spark.createDataFrame([(p,) for p in place_of], "fp long")
+    for r in simhash.links(table, len(prints)).collect():
+        got.join(place_of[r.u], place_of[r.v])
+    assert [got.root(i) for i in range(len(prints))] == [want.root(i) for i in range(len(prints))]
+
+
 def test_components_of_chain_hub_and_ring(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     hub = [(999, i) for i in range(1000, 1400)] + [(1001, 5), (1399, 4)]
@@ -93,11 +125,23 @@ def test_components_of_chain_hub_and_ring(spark):
 
 
 def test_one_of_each_keeps_columns_and_one_row_a_component(make_docs):
-    rows = near_rows() + ODD + [(None, "no id here at all")]
+    rows = near_rows() + ODD + [(None, "no id here at all"), (None, "nor any here"), (None, "no id here at all")]
+    rows += [(900, "the same id and text twice"), (900, "the same id and text twice"), (900, "the same id, another text")]
     docs = make_docs(rows)
     got = one_of_each(docs)
     assert got.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in got.collect()) == sorted({c for _, _, c in brute(rows)})
+    want, seen = [], set()
+    for i, p, c in brute(rows):  # one row a component, told apart by its smallest fingerprint where it has no id
+        if i == c and (i, p) not in seen and (i != "None" or all(q != p for _, q in seen)):
+            seen.add((i, p))
+            want.append(i)
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(want)
+
+
+def test_one_of_each_stands_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d", 5, 6), (2, "a b c d", 5, 6), (2, "x y z w v", 7, 8)], "doc_id int, text string, _id int, _fp_ int")
+    got = sorted(tuple(r) for r in one_of_each(docs).collect())
+    assert got == [(1, "a b c d", 5, 6), (2, "x y z w v", 7, 8)]
 
 
 def test_query_equals_brute_force(spark, sf_dir):
