@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quartier.operators import histboost, manylinear, metrics, models, permute
 from quartier.operators.encode import oof_target_mean
 from quartier.operators.evaluate import cv_score, grid_search, oof_predict
+from quartier.operators.filters import ZScore
 from quartier.operators.folds import with_fold
 from quartier.operators.geo import GeoKMeans
 from quartier.operators.groupings import unpivot_levels
-from quartier.plans.catalog.registry import LISTINGS, fold_sql, query, r, rounded
+from quartier.plans.catalog.registry import LISTINGS, UNITS, fold_sql, query, r, rounded, unit_listings
+from quartier.session import checkpointed, scratch_path
 from quartier.sources.listings import clean_listings
+from quartier.sources.tables import read_metrics_json, write_json_record, write_table
 
 # Variants: the out-of-fold mean log price by one category, or by none.
 _VARIANTS = ["nothing", "series", "building_material", "condition", "rooms_level"]
@@ -373,3 +377,46 @@ def permutation_importance(spark, d):
     df = clean_listings(spark, d).select("listing_id", "area_total", F.log1p("usd_price_syn").alias("label"), F.lit(1.0).alias("constant"))
     line = Pipeline(stages=[VectorAssembler(inputCols=["area_total", "constant"], outputCol="features"), models.ols()]).fit(df)
     return rounded(permute.permutation_importance(line, df, ["area_total", "constant"], "label", "listing_id", repeats=_SHUFFLES), 5)
+
+
+@query(
+    "stored_metrics_delta",
+    f"WITH {METRICS_SQL}, x AS (" + " UNION ALL ".join(
+        f"SELECT variant, '{m}' AS metric, {m} AS value FROM k" for m in _NAMES
+    ) + f") SELECT a.metric, a.value, b.value AS other, {r('a.value - b.value')} AS delta FROM x a JOIN x b"
+    " ON a.metric = b.metric AND a.variant = 'series' AND b.variant = 'nothing'",
+)
+def stored_metrics_delta(spark, d):
+    """One run's metrics stored as JSON, read back by another run and compared with its own."""
+    table = checkpointed(_metric_table(spark, d))
+    path = scratch_path(spark, "metrics")
+    write_json_record(spark, table.where("variant = 'nothing'").select(_NAMES).first().asDict(), path)
+    own = table.where("variant = 'series'").unpivot([], _NAMES, "metric", "value")
+    return rounded(metrics.compare_metrics(own, read_metrics_json(spark, path, _NAMES)))
+
+
+@query(
+    "result_table_roundtrip",
+    f"WITH {UNITS} SELECT building_material, series, count(*) AS n, {r('avg(unit)', 4)} AS unit_mean FROM l GROUP BY 1, 2",
+)
+def result_table_roundtrip(spark, d):
+    """A summary written as a table partitioned by material and read back; missing levels stay missing."""
+    summary = unit_listings(spark, d).groupBy("building_material", "series").agg(F.count("*").alias("n"), F.avg("unit").alias("unit_mean"))
+    path = scratch_path(spark, "summary")
+    write_table(rounded(summary, 4), path, ["building_material"])
+    return spark.read.schema(summary.schema).parquet(path)
+
+
+@query(
+    "assembled_blocks",
+    f"WITH {LISTINGS}, m AS (SELECT avg(area_total) AS ma, stddev_pop(area_total) AS sa, avg(lat) AS ml, stddev_pop(lat) AS sl FROM l),"
+    f" b AS (SELECT listing_id, 0 AS position, {r('(area_total - ma) / sa')} AS value FROM l CROSS JOIN m"
+    f" UNION ALL SELECT listing_id, 1, {r('(lat - ml) / sl')} FROM l CROSS JOIN m"
+    " UNION ALL SELECT listing_id, 2, rooms::DOUBLE FROM l) SELECT * FROM b",
+)
+def assembled_blocks(spark, d):
+    """Two scaled columns and one passed through, side by side in one vector; all other columns are dropped."""
+    df = clean_listings(spark, d)
+    route = Pipeline(stages=[ZScore(cols=["area_total", "lat"]), VectorAssembler(inputCols=["area_total_z", "lat_z", "rooms"], outputCol="features")])
+    vectors = route.fit(df).transform(df).select("listing_id", vector_to_array("features").alias("v"))
+    return rounded(vectors.select("listing_id", F.posexplode("v").alias("position", "value")))
