@@ -3,6 +3,8 @@
 Up to ``EXACT_ROWS`` counted rows Spark's own ``percentile`` is used: its state is bounded by
 that count. Beyond, ranks are located in three scans that shuffle only counts:
 
+The group and value of each row are stored once; what is read afterwards is that copy.
+
 1. a mergeable sketch proposes cut points, which split the values into balanced buckets;
 2. rows are counted per (group, bucket), which tells the bucket every wanted rank falls in;
 3. only the values of those few buckets are counted one by one to read the ranks off.
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quartier.operators.lookup import bounded
+from quartier.operators.lookup import bounded, stored
 from quartier.session import checkpointed
 
 EXACT_ROWS = 1_000_000
@@ -88,6 +90,14 @@ def cut_points(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return df.agg(F.expr(f"percentile_approx(`{value}`, array({levels}), {4 * buckets})").alias("_cuts"))
 
 
+def literal_cuts(cuts: DataFrame) -> Column:
+    """The one row of ``cut_points`` as a literal: a column of it would be copied into every row."""
+    (found,) = cuts.first()
+    if found is None:
+        return F.lit(None).cast("array<double>")
+    return F.split(F.lit(",".join(map(repr, found))), ",").cast("array<double>")  # folded into one constant
+
+
 def bucket_of(value: Column, cuts: Column, buckets: int) -> Column:
     """Index of the cut interval ``value`` falls in: the number of cuts below it (binary search)."""
     steps = [1 << k for k in range(int(math.log2(buckets)) - 1, -1, -1)]
@@ -104,12 +114,10 @@ def bucket_count(rows: int, per_bucket: int) -> int:
 
 
 def _by_rank(df: DataFrame, probs: list[float], by: list[str], out: str, counted: int, limit: int):
-    df = df.where(F.col("_v").isNotNull())
+    df, _, _ = stored(df.where(F.col("_v").isNotNull()), "values")  # read three times
     buckets = bucket_count(counted, limit)
-    cuts = bounded(cut_points(df, "_v", buckets), 1)
-    placed = df.crossJoin(F.broadcast(cuts)).select(
-        *by, "_v", bucket_of(F.col("_v"), F.col("_cuts"), buckets).alias("_b")
-    )
+    cuts = literal_cuts(cut_points(df, "_v", buckets))
+    placed = df.select(*by, "_v", bucket_of(F.col("_v"), cuts, buckets).alias("_b"))
     group = Window.partitionBy(*by)  # at most ``buckets`` rows per group from here on
     totals = placed.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumns(
         {

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quartier.functions.exprs import correlation
 from quartier.operators.lookup import bounded, lookup
-from quartier.operators.quantiles import EXACT_ROWS, bucket_count, bucket_of, cut_points
+from quartier.operators.quantiles import EXACT_ROWS, bucket_count, bucket_of, cut_points, literal_cuts
 
 
 def values_below(
@@ -25,10 +25,8 @@ def values_below(
         w = Window.partitionBy(*by).orderBy(value)
         return counts.withColumn(out, F.sum(weight).over(w) - F.col(weight))
     buckets = bucket_count(rows, limit)
-    cuts = bounded(cut_points(counts, value, buckets), 1)
-    placed = counts.crossJoin(F.broadcast(cuts)).withColumn(
-        "_b", bucket_of(F.col(value), F.col("_cuts"), buckets)
-    ).drop("_cuts")
+    cuts = literal_cuts(cut_points(counts, value, buckets))
+    placed = counts.withColumn("_b", bucket_of(F.col(value), cuts, buckets))
     group = Window.partitionBy(*by).orderBy("_b")  # at most ``buckets`` rows per group
     offsets = (
         placed.groupBy(*by, "_b")
