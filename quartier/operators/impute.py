@@ -45,15 +45,19 @@ class GroupMedianImputer(FitStep):
 
     def _fit(self, df: DataFrame) -> GroupMedianImputerModel:
         c = self.conf
-        rows = value_count(df, c["col"])
-        groups = median(df.dropna(subset=[c["col"]]), c["col"], [c["by"]], "_fill", counted=rows)
-        (overall,) = scalar_quantiles(df, c["col"], [0.5], counted=rows)
-        modes = mode_smallest(df, c["mode_cols"]).collect() if c["mode_cols"] else []
-        state = {
-            "groups": keep_table(groups, "group-medians"),
-            "global": overall,
-            "modes": {r["feature"]: r["mode"] for r in modes},  # one row per column
-        }
+        df = df.select(*dict.fromkeys([c["col"], c["by"], *c["mode_cols"]])).persist()  # one scan for all statistics
+        try:
+            rows = value_count(df, c["col"])
+            groups = median(df.dropna(subset=[c["col"]]), c["col"], [c["by"]], "_fill", counted=rows)
+            (overall,) = scalar_quantiles(df, c["col"], [0.5], counted=rows)
+            modes = mode_smallest(df, c["mode_cols"]).collect() if c["mode_cols"] else []
+            state = {
+                "groups": keep_table(groups, "group-medians"),
+                "global": overall,
+                "modes": {r["feature"]: r["mode"] for r in modes},  # one row per column
+            }
+        finally:
+            df.unpersist()
         return GroupMedianImputerModel(state, **c)
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quartier.operators.impute import GroupMedianImputer
 from quartier.operators.quantiles import quantiles
 
 ROWS = [(f"g{i % 4}" if i % 7 else None, float(i * 37 % 101) if i % 5 else None, f"m{i % 3}") for i in range(200)]
@@ -23,6 +24,13 @@ def watched(spark):
     return df.mapInArrow(count, df.schema), seen
 
 
+def test_imputer_fit_reads_its_input_once(watched, spread_path):
+    df, seen = watched
+    model = GroupMedianImputer(col="v", by="g", mode_cols=["m"]).fit(df)
+    assert seen.value == len(ROWS)
+    assert model.state["global"] == pytest.approx(np.median([v for _, v, _ in ROWS if v is not None]))
+
+
 def test_quantiles_by_rank_store_values_and_send_no_cuts_along(watched, spread_path):
     df, seen = watched
     q = quantiles(df, "v", [0.1, 0.5], ["g"], exact_rows=0)
