@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quartier.functions.exprs import flag
 from quartier.operators.filters import trim_upper
-from quartier.operators.lookup import lookup
+from quartier.operators.lookup import lookup, stored
 from quartier.operators.quantiles import median, scalar_quantiles
 from quartier.operators.ranks import values_below
 from quartier.operators.state import FitStep, FittedStep, keep_table, kept_table, lookup_kept
@@ -141,7 +141,9 @@ def median_spread(
 
 def category_order(df: DataFrame, col: str, value: str, exact_rows: int | None = None) -> DataFrame:
     """Levels with their median of ``value`` and its rank (1 + levels with a smaller median)."""
-    levels = median(df, value, [col], "median", exact_rows=exact_rows).dropna(subset=["median"])
+    narrow, _, _ = stored(df.select(col, value), "levels")  # every scan of ``df`` would repeat the joins behind it
+    levels = median(narrow, value, [col], "median", exact_rows=exact_rows).dropna(subset=["median"])
+    levels, _, _ = stored(levels, "medians")
     counts = levels.groupBy("median").agg(F.count("*").alias("_n"))
     ranked = values_below(counts, [], "median", "_n", "_below", exact_rows)
     position = lookup(levels, ranked.select("median", "_below"), ["median"])

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from quartier.operators.groupings import category_order
 from quartier.operators.impute import GroupMedianImputer
 from quartier.operators.quantiles import quantiles
 
@@ -31,6 +32,14 @@ def test_imputer_fit_reads_its_input_once(watched, spread_path):
     assert model.state["global"] == pytest.approx(np.median([v for _, v, _ in ROWS if v is not None]))
 
 
+def test_category_order_reads_its_input_once(watched, spread_path):
+    df, seen = watched
+    got = {r["g"]: (r["median"], r["position"]) for r in category_order(df, "g", "v", exact_rows=0).collect()}
+    assert seen.value == len(ROWS)
+    medians = {g: np.median([v for k, v, _ in ROWS if k == g and v is not None]) for g in ("g0", "g1", "g2", "g3")}
+    assert got == {g: (m, 1 + sum(o < m for o in medians.values())) for g, m in medians.items()}
+
+
 def test_quantiles_by_rank_store_values_and_send_no_cuts_along(watched, spread_path):
     df, seen = watched
     q = quantiles(df, "v", [0.1, 0.5], ["g"], exact_rows=0)
