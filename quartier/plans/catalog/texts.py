@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quartier.functions.text import char_wb, tokens
+from quartier.functions.text import tokens
 from quartier.operators import segment, textfeatures
 from quartier.plans.catalog.registry import LISTINGS, query, r, rounded
 from quartier.session import spread
@@ -61,9 +61,7 @@ BLANKS = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]+"
 )
 def char_wb_ngrams(spark, d):
     docs = spread(read_table(spark, d, "documents").select("text"))
-    return docs.select(F.explode(char_wb(F.col("text"), 3, 5)).alias("gram")).groupBy("gram").agg(
-        F.count("*").alias("tf")
-    )
+    return textfeatures.char_counts(docs, "text", 3, 5)
 
 
 _HASH = "('0x' || substr(md5({0}), 1, 8))::BIGINT"

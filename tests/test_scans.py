@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quartier.functions.text import char_wb
 from quartier.operators.groupings import category_order
 from quartier.operators.impute import GroupMedianImputer
 from quartier.operators.quantiles import quantiles
+from quartier.operators.textfeatures import char_counts
 
 ROWS = [(f"g{i % 4}" if i % 7 else None, float(i * 37 % 101) if i % 5 else None, f"m{i % 3}") for i in range(200)]
 TEXTS = [(1, "Aa bcd bcd"), (1, "Aa bcd bcd"), (2, None), (None, "bcd İx  e"), (3, ""), (4, "  aa\tlongerword aa")]
@@ -48,3 +51,11 @@ def test_quantiles_by_rank_store_values_and_send_no_cuts_along(watched, spread_p
     assert "NestedLoop" not in q._jdf.queryExecution().executedPlan().toString()
     for g, found in got.items():
         assert found == pytest.approx(np.quantile([v for k, v, _ in ROWS if k == g and v is not None], [0.1, 0.5]).tolist())
+
+
+def test_char_counts_cut_each_distinct_word_once(spark):
+    df = spark.createDataFrame(TEXTS, "k int, t string")
+    counted = char_counts(df, "t", 3, 5)
+    plain = df.select(F.explode(char_wb(F.col("t"), 3, 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("tf"))
+    assert sorted(counted.collect()) == sorted(plain.collect())
+    assert char_counts(df.where("k = 3"), "t", 3, 5).count() == 0
