@@ -2,11 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from quartier.functions.text import char_wb
+from quartier.operators.evaluate import grid_search
 from quartier.operators.groupings import category_order
 from quartier.operators.impute import GroupMedianImputer
+from quartier.operators.models import Ridge
 from quartier.operators.quantiles import quantiles
 from quartier.operators.textfeatures import char_counts
 
@@ -59,3 +62,19 @@ def test_char_counts_cut_each_distinct_word_once(spark):
     plain = df.select(F.explode(char_wb(F.col("t"), 3, 5)).alias("gram")).groupBy("gram").agg(F.count("*").alias("tf"))
     assert sorted(counted.collect()) == sorted(plain.collect())
     assert char_counts(df.where("k = 3"), "t", 3, 5).count() == 0
+
+
+def test_grid_search_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(float(i), 2.0 * i + i % 3, i % 2) for i in range(40)], "x double, label double, fold int")
+    points = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows.mapInArrow(count, rows.schema))
+    ridge = Ridge()
+    table, model = grid_search(points, ridge, [{ridge.alpha: a} for a in (0.5, 500.0)], "label", k=2)
+    assert seen.value == 40
+    assert table.count() == 2 and model.coefficients[0] == pytest.approx(2.0, abs=0.1)
