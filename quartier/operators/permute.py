@@ -29,13 +29,16 @@ def hashed_positions(df: DataFrame, key: str, seed: int, out: str, rows: int, sl
     return joined.withColumn(out, F.col("_o") + inside).select(*df.columns, out)
 
 
-def permuted(df: DataFrame, key: str, cols: list[str], seed: int = 0, suffix: str = "_perm", slice_rows: int | None = None) -> DataFrame:
+def permuted(
+    df: DataFrame, key: str, cols: list[str], seed: int = 0, suffix: str = "_perm", slice_rows: int | None = None, rows: int | None = None,
+) -> DataFrame:
     """``df`` with ``<col><suffix>``: the values of ``cols`` of another row, each row giving to exactly one.
 
     The row at place p of one hashed order receives from the row at place p of another. ``key`` tells rows apart (rows
     that repeat a key are permuted all the same, in no fixed order). All of ``cols`` come from one row and one join.
+    ``rows`` is the number of rows, if known.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     taking = hashed_positions(df, key, 2 * seed, "_place", rows, slice_rows)
     given = df.select(key, *[F.col(c).alias(f"{c}{suffix}") for c in cols])
     giving = hashed_positions(given, key, 2 * seed + 1, "_place", rows, slice_rows).select("_place", *[f"{c}{suffix}" for c in cols])
@@ -54,10 +57,10 @@ def permutation_importance(
     model is applied ``len(cols) + 1`` times to each row within its task.
     """
     rows = checkpointed(df.dropna(subset=[label]))
-    kept = rows.columns
+    kept, number = rows.columns, rows.count()
     measured = None
     for i in range(repeats):
-        work = permuted(rows, key, cols, seed + i, "_perm").withColumn("_own", F.struct(*[F.col(c) for c in kept]))
+        work = permuted(rows, key, cols, seed + i, "_perm", rows=number).withColumn("_own", F.struct(*[F.col(c) for c in kept]))
         carried = [*[f"{c}_perm" for c in cols], "_own"]
         work = model.transform(work).select(*kept, *carried, F.col(prediction).alias("_p"))
         carried.append("_p")

@@ -375,6 +375,7 @@ _SHUFFLES = 3
 def permutation_importance(spark, d):
     """A line on the area beside a constant column, whose score is exactly 0."""
     df = clean_listings(spark, d).select("listing_id", "area_total", F.log1p("usd_price_syn").alias("label"), F.lit(1.0).alias("constant"))
+    df = checkpointed(df)  # parsed once for the fit and the shuffles
     line = Pipeline(stages=[VectorAssembler(inputCols=["area_total", "constant"], outputCol="features"), models.ols()]).fit(df)
     return rounded(permute.permutation_importance(line, df, ["area_total", "constant"], "label", "listing_id", repeats=_SHUFFLES), 5)
 

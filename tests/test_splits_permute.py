@@ -116,3 +116,16 @@ def test_importance_of_used_and_unused_columns(spark):
     assert found["noise"]["r2_drop"] == found["one"]["r2_drop"] == 0.0 == found["one"]["r2_drop_std"] == found["noise"]["mse_rise"]
     assert found["a"]["r2_drop"] == pytest.approx(1.8, abs=0.25) and found["b"]["r2_drop"] == pytest.approx(0.2, abs=0.1)
     assert {r["n"] for r in found.values()} == {490} and found["a"]["r2"] == pytest.approx(1.0)
+
+
+def test_importance_counts_its_rows_once(spark, monkeypatch):
+    """Each shuffle used to count the rows anew."""
+    from quartier.operators import permute
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(60)], ["id", "a", "label"])
+    line = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features"), models.ols()]).fit(df)
+    counted = []
+    real = permute.permuted
+    monkeypatch.setattr(permute, "permuted", lambda *a, rows=None, **kw: counted.append(rows) or real(*a, rows=rows, **kw))
+    (row,) = permute.permutation_importance(line, df, ["a"], "label", "id", repeats=2).collect()
+    assert counted == [60, 60] and row["n"] == 60
