@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartier.functions.exprs import correlation
-from quartier.operators.lookup import bounded, lookup
+from quartier.operators.lookup import bounded, lookup, stored
 from quartier.operators.quantiles import EXACT_ROWS, bucket_count, bucket_of, cut_points, literal_cuts
 
 
@@ -43,11 +43,15 @@ def values_below(
 def average_ranks(
     pairs: DataFrame, by: list[str], value: str, weight: str, out: str, exact_rows: int | None = None
 ) -> tuple[DataFrame, int]:
-    """(by..., value, out) with 1-based average ranks from weighted (counted) rows, and its row count."""
-    counts = pairs.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
+    """(by..., value, out) with 1-based average ranks from weighted (counted) rows, and its row count.
+
+    Counts and ranks are stored: cuts, offsets and windows read the one, hot and cold keys of a lookup the other.
+    """
+    counts, _, _ = stored(pairs.groupBy(*by, value).agg(F.sum(weight).alias("_w")), "counts")
     rows = counts.count()
     ranked = values_below(counts, by, value, "_w", "_below", exact_rows, rows)
-    return ranked.select(*by, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out)), rows
+    ranked = ranked.select(*by, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out))
+    return stored(ranked, "ranks")[0], rows
 
 
 def spearman(

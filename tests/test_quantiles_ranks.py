@@ -101,3 +101,13 @@ def test_lookup_splits_hot_keys(spark, monkeypatch):
     split = {r["i"]: r["v"] for r in L.lookup(df, dim, ["k"]).collect()}
     assert len(rows) == len(small) and small == split
     assert L.bounded(dim, 5) is None and L.bounded(dim, 500).count() == dim.count()
+
+
+def test_ranks_of_a_lookup_are_stored(spark):
+    """Hot keys, their rows and the others each ranked everything anew before."""
+    from quartier.operators.ranks import average_ranks
+
+    pairs = spark.createDataFrame([("f", float(i % 5), 2) for i in range(20)], ["feature", "_x", "_w"])
+    ranks, rows = average_ranks(pairs, ["feature"], "_x", "_w", "_r", exact_rows=2)
+    assert rows == 5 and sorted(r["_r"] for r in ranks.collect()) == [4.5, 12.5, 20.5, 28.5, 36.5]
+    assert "Window" not in ranks._jdf.queryExecution().toString()
