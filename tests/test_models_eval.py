@@ -140,3 +140,31 @@ def test_folds_that_are_not_all_scored_are_refused(spark, linear):
     with pytest.raises(ValueError):
         oof_predict(ten.withColumn("fold", F.when(F.col("fold") > 0, F.col("fold"))), models.Ridge(1.0), k=10)
     assert oof_predict(ten, models.Ridge(1.0), k=10).count() == df.count()
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    words = ["north", "south", "mill", "lake", "hill", "park", "gate", "bridge", "field", "stone", "river"]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(700):
+        picked = rng.choice(words, 4)
+        value = sum(0.1 * words.index(w) for w in picked) + rng.normal(0, 0.1)
+        rows.append((i, f"{' '.join(picked)} {i % 90}", None if i % 50 == 0 else words[i % 7], float(value) + 7, i * 7 % 5))
+    return spark.createDataFrame(rows, "id int, address string, series string, label double, fold int").persist()
+
+
+@pytest.mark.parametrize("size", [64, 8192])
+def test_ridge_scores_prepare_once_and_fit_wide_folds_together(table, size, monkeypatch):
+    from quartier.operators import evaluate as operators
+    from quartier.operators.textfeatures import Grams, hashing_stages
+
+    pipeline = Pipeline(stages=[*hashing_stages("address", "features", size), models.Ridge(1.0)])
+    want = metrics.r2_per_fold(oof_predict(table, pipeline, "fold", 5, keep=["fold", "label"]), "label", "prediction", "fold").first()
+    cut, fits, transform = [], [], Grams._transform
+    monkeypatch.setattr(Grams, "_transform", lambda self, df: cut.append(1) or transform(self, df))
+    if size > operators.WIDE:
+        monkeypatch.setattr(operators, "oof_predict", lambda *a, **kw: fits.append(a))
+    got = cv_score(table, pipeline, "label", "fold", 5).first()
+    assert len(cut) == 1 and not fits and got["folds"] == 5
+    assert (got["r2_mean"], got["r2_std"]) == pytest.approx((want["r2_mean"], want["r2_std"]), abs=1e-5)
