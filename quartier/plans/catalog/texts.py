@@ -36,7 +36,7 @@ def tokenize_words(spark, d):
 )
 def word_ngrams(spark, d):
     docs = spread(read_table(spark, d, "documents").select("text"))
-    return textfeatures.term_counts(docs, "text", "word", 1, 3)
+    return textfeatures.term_counts(docs, "text", "word", 1, 3, scan=True)
 
 
 def _char_wb_sql(low: int, high: int) -> str:
